@@ -1 +1 @@
-"""DataFrame operators."""
+"""Operators over runs, indexes, judgements and samples, as DataFrame to DataFrame functions."""

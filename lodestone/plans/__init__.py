@@ -1,0 +1 @@
+"""Registered queries over the provided tables, and the SQL they must agree with."""
