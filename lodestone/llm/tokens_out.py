@@ -13,47 +13,83 @@ from pyspark.sql import functions as F
 from .common import scratch_dir
 
 END_ID = 2
-#: Distinct chunks a worker remembers before it starts anew.
-CACHE = 300_000
+#: Distinct chunks of one generation of a worker's memory; two generations are kept.
+CACHE = 250_000
 #: Writer settings: version 2 pages give delta encoding where a dictionary stops paying; page indexes are always written.
 PARQUET = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
 
 _LOADED: dict[str, tuple] = {}
 
 
+class _Memo(dict):
+    """Two generations of known chunks: what was not asked for during a whole generation goes; misses are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.old, self.new = {}, {}
+
+    def __missing__(self, chunk):
+        ids = self.old.get(chunk)
+        if ids is None:
+            self.new[chunk] = None
+        else:
+            self[chunk] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class CachedEncoder:
     """Token numbers of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``.
 
     The pre-tokenizer never joins text across a single space between two other characters, and it leads
-    the next piece with that space. So a text is cut at spaces, and each piece is encoded once per worker.
+    the next piece with that space. So a text is cut at spaces, and each chunk is encoded once while it is
+    known; new chunks are encoded together, and the tokens that start with a space say where each begins.
     Texts with neighbouring white space at a cut or a possible special token are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), {}
+        self.tokenizer, self.seen = Tokenizer.from_file(path), _Memo()
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.spaced[i] = piece.startswith("\u0120")  # the byte-level alphabet's space
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        for i in range(0, len(chunks), 1000):
+            part = chunks[i : i + 1000]
+            ids = self._ids([" " + " ".join(part)])[0]
+            at = np.flatnonzero(self.spaced[ids]).tolist()
+            if len(at) == len(part):
+                raw = ids.tobytes()
+                self.seen.update({c: raw[4 * s : 4 * e] for c, s, e in zip(part, at, [*at[1:], len(ids)], strict=True)})
+            else:
+                self.seen.update({c: x.tobytes() for c, x in zip(part, self._ids([" " + c for c in part]), strict=True)})
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > CACHE:
-            self.seen.clear()
         seen, cut = self.seen, [t.split(" ") for t in texts]
-        new = [c for c in {c for pieces in cut for c in pieces[1:]} if c not in seen]
-        plain = [c for c in new if c and not c[0].isspace() and not c[-1].isspace() and "<|" not in c]
-        seen.update(zip(new, [None] * len(new), strict=True))
-        seen.update(zip(plain, (x.tobytes() for x in self._ids([" " + c for c in plain])), strict=True))
+        seen.age()
+        rest = [list(map(seen.__getitem__, p[1:])) for p in cut]
+        if seen.new:
+            self._learn([c for c in seen.new if c and not c[0].isspace() and not c[-1].isspace() and "<|" not in c])
+            seen.new.clear()
+            rest = [list(map(seen.__getitem__, p[1:])) if None in r else r for p, r in zip(cut, rest, strict=True)]
+            seen.new.clear()
         heads = self._ids([p[0] for p in cut])
         out: list[bytes] = []
-        for text, pieces, head in zip(texts, cut, heads, strict=True):
+        for text, pieces, head, tail in zip(texts, cut, heads, rest, strict=True):
             first = pieces[0]
-            rest = [seen[c] for c in pieces[1:]]
-            if None in rest or "<|" in first or (rest and (not first or first[-1].isspace())):
+            if None in tail or "<|" in first or (tail and (not first or first[-1].isspace())):
                 out.append(self._ids([text])[0].tobytes())
             else:
-                out.append(head.tobytes() + b"".join(rest))
+                out.append(head.tobytes() + b"".join(tail))
         return out
 
 
