@@ -126,23 +126,36 @@ def signatures(h: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-_PASS1 = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+def _sketch(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+
+
+def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """False where the class counts of two sets differ by more than n / 7 in sum, n elements in all: no link is lost.
+
+    Counts at 255 hide the rest; such pairs pass.
+    """
+    far = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1)
+    return (7 * far <= n) | (x == 255).any(axis=1) | (y == 255).any(axis=1)
+
+
+_PASS1 = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary())])
 
 
 def _pass1(batches):
-    """A row per document (n, key of its set); and rows of kind 1: shingles met LOCAL times or more in the task's batch."""
+    """A row per document (n, key and sketch of its set: how many hashes fall into each class); and rows of kind 1: shingles met LOCAL times or more in the task's batch."""
     for b in batches:
         sets = shingle_sets(b.column(2).to_pylist())
         with np.errstate(over="ignore"):
             key = np.array([mix(s * _SEED + _STEP).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
         n = np.array([len(s) for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), b.column(1), pa.array(n), pa.array(key)], schema=_PASS1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), b.column(1), pa.array(n), pa.array(key), pa.array([_sketch(s) for s in sets], pa.binary())], schema=_PASS1)
         if sets and n.sum():
             got, times = np.unique(np.concatenate(sets), return_counts=True)
             keep = times >= LOCAL
             got, times = got[keep].view(np.int64), times[keep]
             none = pa.nulls(len(got), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(got), np.int32)), none, none, pa.array(times.astype(np.int64)), pa.array(got)], schema=_PASS1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(got), np.int32)), none, none, pa.array(times.astype(np.int64)), pa.array(got), pa.nulls(len(got), pa.binary())], schema=_PASS1)
 
 
 def _pass2(popular, parts: int):
@@ -234,20 +247,15 @@ def _meet(key, table):
 
 
 def _set_rows(batches):
-    """``doc_id, set, sketch``: the hashes, and how many of them fall into each class (255 at most)."""
     for b in batches:
-        sets = shingle_sets(b.column(1).to_pylist())
-        sketch = [np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes() for s in sets]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "set", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist())], pa.binary())], names=["doc_id", "set"])
 
 
 def _sketched(batches):
-    """Drops pairs whose class counts differ by more than (|x| + |y|) / 7 in sum: a bound that loses no link."""
+    """Drops pairs whose sketches rule a link out."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES).astype(np.int64) for c in (2, 3))
-        far = np.abs(x - y).sum(axis=1)
-        # counts at 255 hide the rest; such pairs pass
-        ok = (7 * far <= b.column(4).to_numpy()) | (x == 255).any(axis=1) | (y == 255).any(axis=1)
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in (2, 3))
+        ok = _near(x, y, b.column(4).to_numpy())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
@@ -262,30 +270,35 @@ def _verify(batches):
 
 
 def _cross(key, table):
-    """Of one large list, all pairs between documents that the first round did not connect."""
+    """Of one large list, the pairs between documents that the first round did not connect, as far as sketches allow."""
     ids, comp, size = (table[c].to_numpy() for c in ("doc_id", "comp", "n"))
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, CLASSES)
     _, comp = np.unique(comp, return_inverse=True)
     rest = np.flatnonzero(comp != np.bincount(comp).argmax())
-    out = []
+    out = [np.empty((0, 2), np.int64)]
     for i in rest.tolist():
-        ok = (comp != comp[i]) & _fits(size, size[i])
-        j = ids[ok]
-        out.append(np.stack([np.minimum(j, ids[i]), np.maximum(j, ids[i])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+        j = np.flatnonzero((comp != comp[i]) & _fits(size, size[i]))
+        j = j[_near(sketch[j], sketch[i : i + 1], size[j] + size[i])]
+        out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0)
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _by_id(info: DataFrame) -> DataFrame:
+    """Size and sketch per doc_id; of rows that share an id the one with the largest set."""
+    return info.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("m")).select("doc_id", "m.n", "m.sketch")
+
+
 def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of ``(a, b)`` that are links."""
-    n = info.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
-    few = broadcast_if_small(ids, ids.count(), BROADCAST_IDS)
-    sets = materialise(docs.select(F.col("doc_id").cast("bigint"), "text").join(few, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id bigint, set binary, sketch binary"), "jaccard-sets")
-    sketch = sets.select("doc_id", "sketch").join(n, "doc_id")
+    """The pairs of ``(a, b)`` that are links: by sketch first, then on the sets of the documents that remain."""
+    sketch = info.where("n > 0").select("doc_id", "n", "sketch")
     x = sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     y = sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     near = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("n"))
     near = materialise(near.mapInArrow(_sketched, "a bigint, b bigint").distinct(), "jaccard-near")
+    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
+    few = broadcast_if_small(ids, ids.count(), BROADCAST_IDS)
+    sets = materialise(docs.select(F.col("doc_id").cast("bigint"), "text").join(few, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id bigint, set binary"), "jaccard-sets")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))
     return materialise(near.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verify, "a bigint, b bigint").distinct(), "jaccard-links")
 
@@ -301,7 +314,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    info = materialise(rows.mapInArrow(_pass1, "kind int, doc_id bigint, th bigint, n bigint, key bigint"), "jaccard-info")
+    info = materialise(rows.mapInArrow(_pass1, "kind int, doc_id bigint, th bigint, n bigint, key bigint, sketch binary"), "jaccard-info")
     counts = info.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR)
     top = counts.orderBy(F.desc("n"), "key").limit(MAX_POPULAR).toArrow()  # bounded by MAX_POPULAR
     known, times = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
@@ -324,12 +337,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     large = found.where("members is not null").select("members").distinct().withColumn("list", F.xxhash64("members"))
     if not large.isEmpty():
         comps = materialise(comps, "jaccard-comps")
-        n = info.where("n > 0").groupBy("doc_id").agg(F.max("n").alias("n"))
         members = large.mapInArrow(_members, "list bigint, doc_id bigint").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
         open_ = members.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("list")
-        members = materialise(members.join(open_, "list").join(n, "doc_id"), "jaccard-open")
+        members = materialise(members.join(open_, "list"), "jaccard-open")
         if not members.isEmpty():
-            pairs = members.groupBy("list").applyInArrow(_cross, "a bigint, b bigint").distinct()
+            pairs = members.join(_by_id(info), "doc_id").groupBy("list").applyInArrow(_cross, "a bigint, b bigint").distinct()
             more = _verified(docs, info, materialise(pairs, "jaccard-cross"))
             stars = comps.where("node <> component_id").select(F.col("node").alias("u"), F.col("component_id").alias("v"))
             comps = connected_components(stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
