@@ -298,7 +298,8 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     near = materialise(near.mapInArrow(_sketched, "a bigint, b bigint").distinct(), "jaccard-near")
     ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
     few = broadcast_if_small(ids, ids.count(), BROADCAST_IDS)
-    sets = materialise(docs.select(F.col("doc_id").cast("bigint"), "text").join(few, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id bigint, set binary"), "jaccard-sets")
+    # not written out: both sides of the joins below read one and the same exchange of the sets
+    sets = docs.select(F.col("doc_id").cast("bigint"), "text").join(few, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id bigint, set binary")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))
     return materialise(near.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verify, "a bigint, b bigint").distinct(), "jaccard-links")
 
