@@ -42,15 +42,45 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Bytes hashed at once; longer only for a single longer span.
+HASH_BLOCK = 1 << 16
 _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        m = max(n, 1 << 20)
-        with np.errstate(over="ignore"):
-            _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(m - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, BASE_INVERSE)]
-    return _POWERS[0], _POWERS[1]
+    """Powers 0 to n of BASE and of its inverse; only those of a usual block are kept."""
+    if _POWERS and n < len(_POWERS[0]):
+        return _POWERS[0], _POWERS[1]
+    m = max(n + 1, HASH_BLOCK + 1)
+    with np.errstate(over="ignore"):
+        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(m - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, BASE_INVERSE))
+    if n <= HASH_BLOCK:
+        _POWERS[:] = [up, down]
+    return up, down
+
+
+def return_memory() -> None:
+    """Hands freed memory back to the system: workers live on between tasks, beside the executor's JVM."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """The batch function ``run``, returning freed memory when its task ends."""
+
+    def batches_of(batches):
+        try:
+            yield from run(batches)
+        finally:
+            return_memory()
+
+    return batches_of
 
 
 _BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
@@ -66,20 +96,28 @@ def word_spans(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from one pass of prefix sums of code * BASE**i.
+    """A 64-bit hash of each span's bytes, from prefix sums of code * BASE**i over blocks of HASH_BLOCK bytes.
+
+    Spans are in order and do not overlap; a hash depends on the span's bytes alone.
 
     >>> raw = np.frombuffer(b"ab ab", np.uint8)
     >>> h = hash_spans(raw, np.array([0, 3]), np.array([2, 5]))
     >>> bool(h[0] == h[1])
     True
     """
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[raw] * up[: len(raw)], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + HASH_BLOCK, side="right")))
+        n = int(ends[j - 1]) - low
+        s, e = starts[i:j] - low, ends[i:j] - low
+        up, down = _powers(n)
+        with np.errstate(over="ignore"):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE_CODES[raw[low : low + n]] * up[:n], out=total[1:])
+            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def text_batches(texts: list, limit: int = 1 << 21):

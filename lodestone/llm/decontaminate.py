@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW = 13
 #: Test items in one broadcast block; larger test sets are matched block by block.
 BLOCK_ITEMS = 20_000
@@ -158,7 +160,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         rows = test.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else test
         blocks.append(spark.sparkContext.broadcast(TestIndex([tuple(r) for r in rows.orderBy("item_id").collect()], window)))
     schema = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>"
-    out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_matcher(blocks, slop), schema)
+    out = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(lean(_matcher(blocks, slop)), schema)
     return out.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, hash_spans, materialise, mix, text_batches, word_spans
+from .common import broadcast_if_small, connected_components, hash_spans, lean, materialise, mix, text_batches, word_spans
 
 N = 5
 #: Similarity PART / WHOLE.
@@ -299,9 +299,9 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
     few = broadcast_if_small(ids, ids.count(), BROADCAST_IDS)
     # not written out: both sides of the joins below read one and the same exchange of the sets
-    sets = docs.select(F.col("doc_id").cast("bigint"), "text").join(few, "doc_id", "left_semi").mapInArrow(_set_rows, "doc_id bigint, set binary")
+    sets = docs.select(F.col("doc_id").cast("bigint"), "text").join(few, "doc_id", "left_semi").mapInArrow(lean(_set_rows), "doc_id bigint, set binary")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))
-    return materialise(near.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(_verify, "a bigint, b bigint").distinct(), "jaccard-links")
+    return materialise(near.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(lean(_verify), "a bigint, b bigint").distinct(), "jaccard-links")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -315,7 +315,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    info = materialise(rows.mapInArrow(_pass1, "kind int, doc_id bigint, th bigint, n bigint, key bigint, sketch binary"), "jaccard-info")
+    info = materialise(rows.mapInArrow(lean(_pass1), "kind int, doc_id bigint, th bigint, n bigint, key bigint, sketch binary"), "jaccard-info")
     counts = info.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR)
     top = counts.orderBy(F.desc("n"), "key").limit(MAX_POPULAR).toArrow()  # bounded by MAX_POPULAR
     known, times = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
@@ -328,7 +328,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     ids = broadcast_if_small(copies.select("doc_id", "th"), copies.count(), BROADCAST_IDS)
     alone = rows.where("doc_id is not null").join(ids, ["doc_id", "th"], "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs = alone.select("doc_id", "th", "text").mapInArrow(_pass2(popular, parts), "p int, sigs binary, docs binary, ids binary, sizes binary")
+    blobs = alone.select("doc_id", "th", "text").mapInArrow(lean(_pass2(popular, parts)), "p int, sigs binary, docs binary, ids binary, sizes binary")
     found = materialise(blobs.groupBy("p").applyInArrow(_meet, "a bigint, b bigint, members binary"), "jaccard-found")
     links = _verified(docs, info, found.where("a is not null").select("a", "b").distinct())
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_spans, text_batches, word_spans
+from .common import hash_spans, lean, text_batches, word_spans
 
 WORD_BITS = 15
 STRUCTURE_BINS = 16
@@ -19,6 +19,8 @@ STATISTICS = ("letters", "upper", "digits", "marks", "spaces", "new_lines", "wor
 METADATA = ("log_length", "stated_length")
 N_FEATURES = (1 << WORD_BITS) + STRUCTURE_BINS * (len(STATISTICS) + len(METADATA))
 THRESHOLD = 0.7
+#: Bytes of texts whose features are computed together.
+RUN_BYTES = 1 << 19
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[[9, 10, 11, 12, 13, 32]] = True
@@ -28,6 +30,7 @@ _UPPER = (_CODES >= 65) & (_CODES <= 90)
 _DIGIT = (_CODES >= 48) & (_CODES <= 57)
 _MARK = (_CODES >= 33) & (_CODES < 128) & ~_LETTER & ~_DIGIT
 _PLAIN_MARK = np.isin(_CODES, [33, 39, 44, 45, 46, 58, 59, 63])
+_ODD_MARK = _MARK & ~_PLAIN_MARK
 _FOLD = np.where(_UPPER, _CODES + 32, _CODES).astype(np.uint8).tobytes()
 
 
@@ -39,22 +42,22 @@ def features(texts: list, stated: list) -> tuple[list[np.ndarray], list[np.ndarr
     """
     idx, val = [], []
     base = 1 << WORD_BITS
-    for first, run in text_batches(texts):
-        joined = b" ".join(run)
+    for first, run in text_batches(texts, RUN_BYTES):
+        joined = b" ".join(run) + b" "  # every text is followed by one space
         raw = np.frombuffer(joined, np.uint8)
         _, starts, ends = word_spans(joined, _SEPARATORS)
         low = np.frombuffer(joined.translate(_FOLD), np.uint8)
         hashes = hash_spans(low, starts, ends)
         begin = np.cumsum([0] + [len(b) + 1 for b in run])
-        sums = {k: np.r_[0, np.cumsum(m[raw])] for k, m in (("letters", _LETTER), ("upper", _UPPER), ("digits", _DIGIT), ("marks", _MARK & ~_PLAIN_MARK), ("spaces", _SEPARATORS), ("new_lines", _CODES == 10))}
-        lettered = sums["letters"][ends] - sums["letters"][starts] > 0
-        marked = sums["marks"][ends] - sums["marks"][starts] > 0
+        sums = {k: np.add.reduceat(m[raw], begin[:-1], dtype=np.int64) for k, m in (("letters", _LETTER), ("upper", _UPPER), ("digits", _DIGIT), ("marks", _ODD_MARK), ("spaces", _SEPARATORS), ("new_lines", _CODES == 10))}
+        sums["spaces"] -= 1
+        lettered, marked = (np.logical_or.reduceat(m[raw], starts) if len(starts) else np.empty(0, bool) for m in (_LETTER, _ODD_MARK))
         cut = np.searchsorted(starts, begin)
         for k, b in enumerate(run):
             n, a, z = len(b), cut[k], cut[k + 1]
             h, words = hashes[a:z], z - a
             one = max(n, 1)
-            per = {name: (s[begin[k] + n] - s[begin[k]]) / one for name, s in sums.items()}
+            per = {name: s[k] / one for name, s in sums.items()}
             number, count = np.unique(h, return_counts=True)
             w = max(words, 1)
             stats = [
@@ -149,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Factorisa
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", _stated(docs)).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "n_chars", "quality")
-    got = rows.mapInArrow(_featuriser, "doc_id bigint, quality int, idx array<int>, val array<float>").toArrow()
+    got = rows.mapInArrow(lean(_featuriser), "doc_id bigint, quality int, idx array<int>, val array<float>").toArrow()
     order = np.lexsort((np.array([sum(x) for x in got["idx"].to_pylist()], np.int64), got["doc_id"].to_numpy())) if got.num_rows else np.empty(0, np.int64)
     idx, val, y = [x.values.to_numpy(zero_copy_only=False) for x in got["idx"]], [x.values.to_numpy(zero_copy_only=False) for x in got["val"]], got["quality"].to_numpy()
     return fit([idx[i] for i in order], [val[i] for i in order], y[order].astype(float))
@@ -160,9 +163,8 @@ def _scorer(model):
         fm = model.value
         for b in batches:
             got = np.empty(b.num_rows)
-            texts, stated = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for i in range(0, len(texts), 256):
-                got[i : i + 256] = fm.scores(*features(texts[i : i + 256], stated[i : i + 256]))
+            for i in range(0, b.num_rows, 256):
+                got[i : i + 256] = fm.scores(*features(b.column(1).slice(i, 256).to_pylist(), b.column(2).slice(i, 256).to_pylist()))
             extra = [b.column(k) for k in range(3, b.num_columns)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *extra, pa.array(got)], names=[*b.schema.names, "score"])
 
@@ -180,9 +182,9 @@ def score_documents(docs: DataFrame, model: FactorisationMachine, keep_text: boo
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", _stated(docs), *extra)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     if not keep_text:
-        out = rows.mapInArrow(_scores_only(_scorer(shared)), "doc_id bigint, score double")
+        out = rows.mapInArrow(lean(_scores_only(_scorer(shared))), "doc_id bigint, score double")
     else:
-        out = rows.mapInArrow(_scorer(shared), f"{schema}, score double")
+        out = rows.mapInArrow(lean(_scorer(shared)), f"{schema}, score double")
     return out.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

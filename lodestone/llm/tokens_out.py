@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import lean, scratch_dir
 
 END_ID = 2
 #: Distinct chunks of one generation of a worker's memory; two generations are kept.
@@ -139,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_encode(tokenizer_path, end_id), "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>").write.options(**PARQUET).parquet(path)
+    ranged.mapInArrow(lean(_encode(tokenizer_path, end_id)), "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>").write.options(**PARQUET).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -161,7 +161,7 @@ def _digest(batches):
 
 def digest_tokens(tokens: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of what ``read_tokens`` gives."""
-    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(_digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return tokens.select("doc_id", "start", "n_tokens", "ids").mapInArrow(lean(_digest), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
