@@ -71,10 +71,22 @@ def return_memory() -> None:
         trim(0)
 
 
-def lean(run):
-    """The batch function ``run``, returning freed memory when its task ends."""
+_KEPT: dict = {}
+
+
+def kept(name, build):
+    """What ``build()`` gave, kept by this worker until a task that keeps nothing runs on it."""
+    if name not in _KEPT:
+        _KEPT[name] = build()
+    return _KEPT[name]
+
+
+def lean(run, keeps: bool = False):
+    """The batch function ``run``, returning freed memory when its task ends; what other tasks kept goes first."""
 
     def batches_of(batches):
+        if not keeps:
+            _KEPT.clear()
         try:
             yield from run(batches)
         finally:
@@ -120,7 +132,13 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
-def text_batches(texts: list, limit: int = 1 << 21):
+def strings(column, rows: int = 256):
+    """The values of an Arrow column, turned into Python strings ``rows`` at a time."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
+def text_batches(texts, limit: int = 1 << 19):
     """Runs of texts whose bytes stay near ``limit``, as (first index, list of bytes); one long text is a run alone."""
     run, size, first = [], 0, 0
     for i, t in enumerate(texts):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean
+from .common import lean, strings
 
 WINDOW = 13
 #: Test items in one broadcast block; larger test sets are matched block by block.
@@ -110,12 +110,12 @@ def _matcher(blocks, slop: int | None):
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            ids, texts = b.column(0).to_pylist(), strings(b.column(1))
             i = 0
-            while i < len(texts):  # a shard: documents of about two million bytes
+            while i < len(ids):  # a shard: documents of about two million bytes
                 docs, size = [], 0
-                while i + len(docs) < len(texts) and (not docs or size < 2_000_000):
-                    docs.append(words(texts[i + len(docs)]))
+                while i + len(docs) < len(ids) and (not docs or size < 2_000_000):
+                    docs.append(words(next(texts)))
                     size += 8 * len(docs[-1])
                 n = np.array([len(d) for d in docs], np.int64)
                 begin = np.cumsum(n + 1) - (n + 1)  # a gap between documents that no term fills

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, hash_spans, lean, materialise, mix, text_batches, word_spans
+from .common import broadcast_if_small, connected_components, hash_spans, lean, materialise, mix, return_memory, strings, text_batches, word_spans
 
 N = 5
 #: Similarity PART / WHOLE.
@@ -43,7 +43,7 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP, _SEED = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-def shingle_sets(texts: list) -> list[np.ndarray]:
+def shingle_sets(texts) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's N-word shingles; of fewer words, one hash of the whole."""
     out = []
     for _, run in text_batches(texts):
@@ -145,15 +145,17 @@ _PASS1 = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int6
 def _pass1(batches):
     """A row per document (n, key and sketch of its set: how many hashes fall into each class); and rows of kind 1: shingles met LOCAL times or more in the task's batch."""
     for b in batches:
-        sets = shingle_sets(b.column(2).to_pylist())
+        sets = shingle_sets(strings(b.column(2)))
         with np.errstate(over="ignore"):
             key = np.array([mix(s * _SEED + _STEP).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
         n = np.array([len(s) for s in sets], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), b.column(1), pa.array(n), pa.array(key), pa.array([_sketch(s) for s in sets], pa.binary())], schema=_PASS1)
         if sets and n.sum():
-            got, times = np.unique(np.concatenate(sets), return_counts=True)
-            keep = times >= LOCAL
-            got, times = got[keep].view(np.int64), times[keep]
+            every = np.concatenate(sets)
+            every.sort()
+            ahead, last = every[: len(every) - LOCAL + 1], every[LOCAL - 1 :]
+            got = np.unique(ahead[ahead[: len(last)] == last]) if len(every) >= LOCAL else every[:0]
+            times, got = np.searchsorted(every, got, "right") - np.searchsorted(every, got), got.view(np.int64)
             none = pa.nulls(len(got), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(got), np.int32)), none, none, pa.array(times.astype(np.int64)), pa.array(got), pa.nulls(len(got), pa.binary())], schema=_PASS1)
 
@@ -165,7 +167,7 @@ def _pass2(popular, parts: int):
     def run(batches):
         known, levels = popular.value
         for b in batches:
-            sets = shingle_sets(b.column(2).to_pylist())
+            sets = shingle_sets(strings(b.column(2)))
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.array([len(s) for s in sets], np.int32)
             each = []
@@ -242,13 +244,15 @@ def _meet(key, table):
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
     n, m = len(pairs), len(large)
+    del sig, doc, ids, sizes, order, keep, first, size, left, right
+    return_memory()
     lists = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(large), pa.binary())])
     return pa.Table.from_arrays([pa.concat_arrays([pa.array(pairs[:, c]), pa.nulls(m, pa.int64())]) for c in (0, 1)] + [lists], schema=_FOUND)
 
 
 def _set_rows(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1).to_pylist())], pa.binary())], names=["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(strings(b.column(1)))], pa.binary())], names=["doc_id", "set"])
 
 
 def _sketched(batches):

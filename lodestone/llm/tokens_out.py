@@ -7,19 +7,18 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lean, scratch_dir
+from .common import kept, lean, return_memory, scratch_dir
 
 END_ID = 2
 #: Distinct chunks of one generation of a worker's memory; two generations are kept.
-CACHE = 250_000
+CACHE = 120_000
 #: Writer settings: version 2 pages give delta encoding where a dictionary stops paying; page indexes are always written.
 PARQUET = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
 
-_LOADED: dict[str, tuple] = {}
-
 
 class _Memo(dict):
     """Two generations of known chunks: what was not asked for during a whole generation goes; misses are noted."""
@@ -40,6 +39,7 @@ class _Memo(dict):
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
+            return_memory()
 
 
 class CachedEncoder:
@@ -95,9 +95,7 @@ class CachedEncoder:
 
 def encoder(path: str) -> CachedEncoder:
     """One encoder per worker and vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = (CachedEncoder(path),)
-    return _LOADED[path][0]
+    return kept(("encoder", path), lambda: CachedEncoder(path))
 
 
 def _encode(path: str, end_id: int):
@@ -109,14 +107,14 @@ def _encode(path: str, end_id: int):
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).tolist()
             ids, i = b.column(0), 0
-            while i < len(texts):
+            while i < len(lengths):
                 j, size = i, 0
-                while j < len(texts) and (j == i or size < 1 << 20):
-                    size += len(texts[j])
+                while j < len(lengths) and (j == i or size < 1 << 20):
+                    size += lengths[j]
                     j += 1
-                done = [x + end for x in enc(texts[i:j])]
+                done = [x + end for x in enc([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])]
                 n = np.array([len(x) // 4 for x in done], np.int64)
                 stops = np.cumsum(n)
                 flat = pa.py_buffer(b"".join(done))
@@ -139,7 +137,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(lean(_encode(tokenizer_path, end_id)), "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>").write.options(**PARQUET).parquet(path)
+    ranged.mapInArrow(lean(_encode(tokenizer_path, end_id), keeps=True), "doc_id bigint, part int, local_start bigint, n_tokens bigint, ids array<int>").write.options(**PARQUET).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
