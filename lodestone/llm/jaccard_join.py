@@ -32,6 +32,8 @@ POPULAR, LOCAL = 64, 3
 MAX_POPULAR = 1_000_000
 #: Signature lists with more members emit a star and are completed in a second round.
 SMALL = 12
+#: Documents of a block of the second round.
+BLOCK = 512
 #: Id tables are broadcast up to so many rows.
 BROADCAST_IDS = 2_000_000
 #: Classes of the size sketch.
@@ -274,20 +276,38 @@ def _verify(batches):
 
 
 def _cross(key, table):
-    """Of one large list, the pairs between documents that the first round did not connect, as far as sketches allow."""
-    ids, comp, size = (table[c].to_numpy() for c in ("doc_id", "comp", "n"))
+    """Of one block of a large list, the pairs of its asking documents with its others, as far as sketches allow."""
+    ids, comp, size, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n", "asks"))
     sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, CLASSES)
-    _, comp = np.unique(comp, return_inverse=True)
-    rest = np.flatnonzero(comp != np.bincount(comp).argmax())
+    asked = np.flatnonzero(~asks)
     out = [np.empty((0, 2), np.int64)]
-    for i in rest.tolist():
-        j = np.flatnonzero((comp != comp[i]) & _fits(size, size[i]))
+    for i in np.flatnonzero(asks).tolist():
+        j = asked[(comp[asked] != comp[i]) & _fits(size[asked], size[i])]
         j = j[_near(sketch[j], sketch[i : i + 1], size[j] + size[i])]
         out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
     pairs = np.unique(np.concatenate(out), axis=0)
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """The members of large lists dealt out for `_cross`: a row per block of a list that a document takes part in.
+
+    Documents outside a list's largest component ask, all are asked. Both sides are cut by hash into blocks of
+    about BLOCK documents; every block of askers meets every block of the list, whatever the list's length.
+    """
+    sizes = members.groupBy("list", "comp").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("list").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
+    cut = lambda n: F.ceil(n / BLOCK).cast("int")
+    main = main.select("list", F.col("m.comp").alias("main"), cut(F.col("all")).alias("others"), cut(F.col("all") - F.col("m.k")).alias("askers"))
+    rows = members.join(main, "list").withColumn("at", F.xxhash64("doc_id"))
+    own = lambda n: F.pmod("at", F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["list", "doc_id", "comp", "n", "sketch"]
+    asked = rows.select(*kept, F.lit(False).alias("asks"), each("askers").alias("x"), own("others").alias("y"))
+    asking = rows.where("comp <> main").select(*kept, F.lit(True).alias("asks"), own("askers").alias("x"), each("others").alias("y"))
+    return asked.union(asking)
+
+
 def _by_id(info: DataFrame) -> DataFrame:
     """Size and sketch per doc_id; of rows that share an id the one with the largest set."""
     return info.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("m")).select("doc_id", "m.n", "m.sketch")
@@ -346,7 +366,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         open_ = members.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("list")
         members = materialise(members.join(open_, "list"), "jaccard-open")
         if not members.isEmpty():
-            pairs = members.join(_by_id(info), "doc_id").groupBy("list").applyInArrow(_cross, "a bigint, b bigint").distinct()
+            pairs = _blocks(members.join(_by_id(info), "doc_id")).groupBy("list", "x", "y").applyInArrow(_cross, "a bigint, b bigint").distinct()
             more = _verified(docs, info, materialise(pairs, "jaccard-cross"))
             stars = comps.where("node <> component_id").select(F.col("node").alias("u"), F.col("component_id").alias("v"))
             comps = connected_components(stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
