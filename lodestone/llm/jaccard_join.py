@@ -34,6 +34,8 @@ MAX_POPULAR = 1_000_000
 SMALL = 12
 #: Documents of a block of the second round.
 BLOCK = 512
+#: Keys that the members of one list are spread over in joins.
+SALTS = 64
 #: Id tables are broadcast up to so many rows.
 BROADCAST_IDS = 2_000_000
 #: Classes of the size sketch.
@@ -289,17 +291,30 @@ def _cross(key, table):
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """The members of large lists dealt out for `_cross`: a row per block of a list that a document takes part in.
+def _of_lists(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """The join on ``list``, salted by document: the members of one list spread over SALTS keys, and so over tasks."""
+    salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["list", "salt"]).drop("salt")
 
-    Documents outside a list's largest component ask, all are asked. Both sides are cut by hash into blocks of
-    about BLOCK documents; every block of askers meets every block of the list, whatever the list's length.
+
+def _open_lists(members: DataFrame) -> DataFrame:
+    """The lists that are not one component yet: the largest component of each, and into how many blocks it is cut.
+
+    Documents outside the largest component ask, all are asked. Counts are partially aggregated per list and component.
     """
     sizes = members.groupBy("list", "comp").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("list").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"))
+    lists = sizes.groupBy("list").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")).where("m.k < all")
     cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    main = main.select("list", F.col("m.comp").alias("main"), cut(F.col("all")).alias("others"), cut(F.col("all") - F.col("m.k")).alias("askers"))
-    rows = members.join(main, "list").withColumn("at", F.xxhash64("doc_id"))
+    return lists.select("list", F.col("m.comp").alias("main"), cut(F.col("all")).alias("others"), cut(F.col("all") - F.col("m.k")).alias("askers"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """The members of open lists dealt out for `_cross`: a row per block of a list that a document takes part in.
+
+    Askers and asked are cut by hash into blocks of about BLOCK documents; every block of askers meets every
+    block of the list, whatever the list's length.
+    """
+    rows = rows.withColumn("at", F.xxhash64("doc_id"))
     own = lambda n: F.pmod("at", F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     kept = ["list", "doc_id", "comp", "n", "sketch"]
@@ -363,9 +378,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         comps = materialise(comps, "jaccard-comps")
         members = large.mapInArrow(_members, "list bigint, doc_id bigint").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
-        open_ = members.groupBy("list").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("list")
-        members = materialise(members.join(open_, "list"), "jaccard-open")
-        if not members.isEmpty():
+        open_ = materialise(_open_lists(members), "jaccard-lists")
+        if not open_.isEmpty():
+            members = materialise(_of_lists(members, open_), "jaccard-open")
             pairs = _blocks(members.join(_by_id(info), "doc_id")).groupBy("list", "x", "y").applyInArrow(_cross, "a bigint, b bigint").distinct()
             more = _verified(docs, info, materialise(pairs, "jaccard-cross"))
             stars = comps.where("node <> component_id").select(F.col("node").alias("u"), F.col("component_id").alias("v"))
