@@ -34,6 +34,8 @@ MAX_POPULAR = 1_000_000
 SMALL = 12
 #: Documents of a block of the second round.
 BLOCK = 512
+#: Groups of equal sets with so many rows may be joined by broadcast, and how many such groups there can be.
+HOT, HOT_GROUPS = 1024, 1_000_000
 #: Keys that the members of one list are spread over in joins.
 SALTS = 64
 #: Id tables are broadcast up to so many rows.
@@ -343,6 +345,21 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(near.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(lean(_verify), "a bigint, b bigint").distinct(), "jaccard-links")
 
 
+def _copies(info: DataFrame) -> DataFrame:
+    """``doc_id, th, rep`` of documents whose set equals that of a smaller doc_id: the smallest stands for all.
+
+    Groups of HOT rows or more, and of at least a HOT_GROUPS-th of all rows, are joined by broadcast: there are
+    at most HOT_GROUPS of them. All others are small enough for one task, and their rows alone are shuffled.
+    """
+    same = info.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("k"))
+    same = materialise(same.where("rep <> top").drop("top"), "jaccard-same")
+    bar = max(HOT, -(-info.count() // HOT_GROUPS))
+    hot, on = F.broadcast(same.where(F.col("k") >= bar)), ["key", "n"]
+    rows = info.select("doc_id", "th", *on)
+    both = rows.join(hot, on).union(rows.join(hot, on, "left_anti").join(same.where(F.col("k") < bar), on))
+    return both.where("doc_id <> rep").select("doc_id", "th", "rep")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per row of ``docs(doc_id, text)``.
 
@@ -361,9 +378,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     order = np.argsort(known)
     popular = spark.sparkContext.broadcast((known[order], np.log2(np.maximum(times[order], 1)).astype(np.int64)))
     info = info.where("kind = 0").drop("kind")
-    # equal sets: the smallest doc_id stands for all
-    same = info.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).where("rep <> top").drop("top")
-    copies = materialise(info.join(same, ["key", "n"]).where("doc_id <> rep").select("doc_id", "th", "rep"), "jaccard-copies")
+    copies = materialise(_copies(info), "jaccard-copies")
     ids = broadcast_if_small(copies.select("doc_id", "th"), copies.count(), BROADCAST_IDS)
     alone = rows.where("doc_id is not null").join(ids, ["doc_id", "th"], "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

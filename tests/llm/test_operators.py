@@ -219,6 +219,7 @@ def brute_components(rows):
 def test_jaccard(spark, docs, empty, monkeypatch, small, popular):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "POPULAR", popular)
+    monkeypatch.setattr(jaccard_join, "HOT", small + 1)
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)  # long lists are cut into several blocks
     got = sorted(tuple(r) for r in jaccard_join.similar_documents(docs).collect())
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
