@@ -1,4 +1,4 @@
-"""Operator 8, embedding near-dedup: a pivot-permutation index with verified links."""
+"""Operator 8, embedding near-dedup: a pivot-permutation index whose prefixes lose no link, with verified links."""
 
 from __future__ import annotations
 
@@ -10,91 +10,101 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise
 
 COSINE = 0.98
-#: Reference points: at most so many, from a bounded sample of distinct vectors.
+#: Reference points of a dimension: at most so many, one for each BLOCK vectors of its largest label.
 PIVOTS = 256
-#: Length of the stored permutation prefix, and how many pivots two prefixes must share.
-PREFIX, SHARED = 12, 4
-#: Members of an inverted list that one task compares at once.
+#: Vectors that the pivots are picked from, by their distance from those already picked.
+SAMPLE = 1024
+#: Homes or visitors of an inverted list that one task compares at once.
 BLOCK = 1024
+#: Linked unit vectors are at most so far apart; the slack is for rounding.
+REACH = (2 - 2 * COSINE) ** 0.5 + 1e-6
 
 
-def _matrix(col) -> np.ndarray:
-    return np.asarray(col.values.to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
+def _separated(x: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` of the unit rows of ``x``, each the farthest from those picked before it."""
+    picked, nearest = [0], x @ x[0]
+    while len(picked) < min(n, len(x)):
+        picked.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, x @ x[picked[-1]])
+    return x[picked]
 
 
 def _permute(pivots):
-    """Rows of representatives with the numbers of their PREFIX nearest pivots, nearest first."""
+    """Rows of representatives with ``home``, the nearest pivot, and ``visits``, the pivots of a lower number that
+    may be the home of a linked vector.
+
+    For a linked pair x, y and pivots p, q: (x - y)(p - q) <= REACH |p - q|. If p is the home of x, then
+    yp >= yq - REACH |p - q| for each q, so y visits p or has it as home; a pair thus meets once, in one list.
+    """
 
     def run(batches):
         p = pivots.value
+        apart = {d: REACH * np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) + 1e-9 for d, x in p.items()}
         for b in batches:
             dims = np.diff(b.column(2).offsets.to_numpy())
-            out = np.zeros((b.num_rows, min(PREFIX, sum(len(x) for x in p.values()) and PREFIX)), np.int32)
-            sizes = np.zeros(b.num_rows, np.int64)
             flat = b.column(2).values.to_numpy(zero_copy_only=False)
             offsets = b.column(2).offsets.to_numpy()
+            home, visits = np.zeros(b.num_rows, np.int32), [[]] * b.num_rows
             for d in np.unique(dims):
                 rows, piv = np.flatnonzero(dims == d), p[int(d)]
                 x = np.stack([flat[offsets[r] : offsets[r] + d] for r in rows]).astype(np.float64)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                k = min(PREFIX, len(piv))
-                near = np.argsort(-(x @ piv.T), axis=1, kind="stable")[:, :k]
-                out[rows, :k], sizes[rows] = near, k
-            lists = pa.array([o[:k].tolist() for o, k in zip(out, sizes, strict=True)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "pivots"])
+                dots = x @ piv.T
+                home[rows] = h = np.argmax(dots, axis=1)
+                may = dots >= dots[np.arange(len(h)), h][:, None] - apart[int(d)][h]
+                may &= np.arange(len(piv)) < h[:, None]
+                for r, m in zip(rows.tolist(), may, strict=True):
+                    visits[r] = np.flatnonzero(m).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home), pa.array(visits, pa.list_(pa.int32()))], names=[*b.schema.names, "home", "visits"])
 
     return run
 
 
 def _links(key, table):
-    """Links of one pair of blocks of an inverted list: partial link counts, and a forest that keeps components.
-
-    A pair is handled in the list of the smallest pivot it shares.
-    """
-    ids, side = table["rep"].to_numpy(), table["side"].to_numpy()
-    mult, pivots = table["copies"].to_numpy(), table["pivots"].to_pylist()
-    own, diagonal, least = key[1].as_py(), key[2].as_py() == key[3].as_py(), SHARED
-    d = len(table["v"][0].as_py())
-    x = np.asarray(table["v"].combine_chunks().values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
+    """Links of one pair of blocks of an inverted list: partial link counts, and a forest that keeps components."""
+    ids, side, mult = table["rep"].to_numpy(), table["side"].to_numpy(), table["copies"].to_numpy()
+    diagonal = key[3].as_py() == key[4].as_py()
+    x = np.asarray(table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
     norm = np.sqrt((x * x).sum(axis=1))
-    bits = np.zeros((len(ids), PIVOTS), np.float32)
-    for i, p in enumerate(pivots):
-        bits[i, p] = 1
-    need = min(least, len(pivots[0]))
     a = np.flatnonzero(side == 0)
     b = a if diagonal else np.flatnonzero(side == 1)
+    linked = np.zeros((len(a), len(b)), bool)
+    for s in range(0, len(a), 256):
+        rows = a[s : s + 256]
+        cosine = (x[rows] @ x[b].T) / (norm[rows, None] * norm[b])
+        linked[s : s + 256] = cosine >= COSINE
+        # close to the bound the order of summation decides: those pairs are summed one by one
+        r, c = np.nonzero(np.abs(cosine - COSINE) < 1e-12)
+        i, j = rows[r], b[c]
+        linked[s + r, c] = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j]) >= COSINE
+    if diagonal:
+        np.fill_diagonal(linked, False)
     count = np.zeros(len(ids), np.int64)
-    parent = np.arange(len(ids))
-
-    def find(k):
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    edges = []
-    for s in range(0, len(a), BLOCK):
-        rows = a[s : s + BLOCK]
-        shared = bits[rows] @ bits[b].T
-        smaller = bits[rows][:, :own] @ bits[b][:, :own].T  # a smaller common pivot owns the pair
-        r, c = np.nonzero((shared >= need) & (smaller == 0))
-        r, c = rows[r], b[c]
-        ok = ids[r] < ids[c] if diagonal else ids[r] != ids[c]
-        r, c = r[ok], c[ok]
-        for t in range(0, len(r), 1 << 16):
-            i, j = r[t : t + (1 << 16)], c[t : t + (1 << 16)]
-            linked = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j]) >= COSINE
-            i, j = i[linked], j[linked]
-            np.add.at(count, i, mult[j])
-            np.add.at(count, j, mult[i])
-            for u, v in zip(i.tolist(), j.tolist(), strict=True):
-                fu, fv = find(u), find(v)
-                if fu != fv:
-                    parent[fu] = fv
-                    edges.append((u, v))
-    n = np.flatnonzero(count)
-    u, v = (np.array([e[k] for e in edges], np.int64) for k in (0, 1))
-    out = [np.r_[ids[n], ids[u] if len(u) else u], np.r_[np.full(len(n), -1), ids[v] if len(v) else v], np.r_[count[n], np.zeros(len(u), np.int64)]]
+    for s in range(0, len(a), 256):
+        count[a[s : s + 256]] = linked[s : s + 256] @ mult[b]
+    if not diagonal:
+        count[b] = linked.T @ mult[a]
+    # a tree for each component: breadth first, each vector of ``a`` spreads once
+    u, v, free, left = [], [], np.ones(len(b), bool), np.ones(len(a), bool)
+    for root in range(len(a)):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            k = todo.pop()
+            new = np.flatnonzero(linked[k] & free)
+            free[new] = False
+            u += [a[k]] * len(new)
+            v += b[new].tolist()
+            if diagonal:
+                more = new[left[new]]
+            else:
+                more = np.flatnonzero(linked[:, new].any(axis=1) & left) if len(new) else new
+                u += [b[new[np.argmax(linked[m, new])]] for m in more]
+                v += a[more].tolist()
+            left[more] = False
+            todo += more.tolist()
+    n, u, v = np.flatnonzero(count), np.array(u, np.int64), np.array(v, np.int64)
+    out = [np.r_[ids[n], ids[u]], np.r_[np.full(len(n), -1), ids[v]], np.r_[count[n], np.zeros(len(u), np.int64)]]
     return pa.Table.from_arrays([pa.array(o.astype(np.int64)) for o in out], names=["rep", "other", "links"])
 
 
@@ -104,9 +114,9 @@ def dedup_embeddings(vectors: DataFrame) -> DataFrame:
     Rows link when their labels are equal and not null and the cosine is COSINE or more. Null, empty and
     zero vectors and vectors with null or non-finite components link with nothing, nor do vectors of
     different dimension. Equal vectors of a label form one representative, so copies make no pairs; repeated
-    rows of one vec_id count as copies. Representatives sharing SHARED of their PREFIX nearest pivots are
-    found by the inverted lists and verified in double precision. Long lists are split into pairs of blocks.
-    The pivots are drawn by hash from the vectors, PIVOTS per dimension; every vector is indexed.
+    rows of one vec_id count as copies. Representatives meet in the inverted lists of their pivots (see
+    ``_permute``; no link is lost) and are verified in double precision. Long lists are split into pairs of
+    blocks. The pivots are well separated vectors of a sample by hash; every vector is indexed.
     """
     spark = vectors.sparkSession
     v = F.col("embedding")
@@ -117,20 +127,26 @@ def dedup_embeddings(vectors: DataFrame) -> DataFrame:
     # the vector itself is a key beside its hash, so hash collisions join nothing
     reps = materialise(hashed.where("v is not null").groupBy("label", "vh", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.max("vec_id").alias("top")), "reps")
     pivots = {}
-    for r in reps.select(F.size("v").alias("d")).distinct().collect():
-        picked = reps.where(F.size("v") == r["d"]).select("v", F.xxhash64("v", F.lit(7)).alias("h")).orderBy("h").limit(PIVOTS).collect()
+    groups = reps.groupBy("label", F.size("v").alias("d")).count()
+    for r in groups.groupBy("d").agg(F.max("count").alias("n")).collect():
+        picked = reps.where(F.size("v") == r["d"]).select("v", F.xxhash64("v", F.lit(7)).alias("h")).orderBy("h").limit(SAMPLE).collect()
         p = np.array([x["v"] for x in picked])
-        pivots[r["d"]] = p / np.linalg.norm(p, axis=1, keepdims=True)
+        pivots[r["d"]] = _separated(p / np.linalg.norm(p, axis=1, keepdims=True), min(PIVOTS, -(-r["n"] // BLOCK)))
     shared = spark.sparkContext.broadcast(pivots)
     kind = reps.schema["label"].dataType.simpleString()
-    # a third key column: vectors of one dimension only meet each other
-    indexed = materialise(reps.select("rep", "copies", "v", "label").mapInArrow(_permute(shared), f"rep bigint, copies bigint, v array<double>, label {kind}, pivots array<int>"), "pivots")
-    lists = indexed.withColumn("p", F.explode("pivots")).withColumn("d", F.size("v"))
-    sizes = lists.groupBy("label", "d", "p").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    cut = lists.join(sizes, ["label", "d", "p"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side")))
-    cut = cut.select("rep", "copies", "v", "pivots", "p", F.xxhash64("label", "d").alias("g"), F.inline(meet))
-    found = cut.select("g", "p", "i", "j", "side", "rep", "copies", "v", "pivots").groupBy("g", "p", "i", "j").applyInArrow(_links, "rep bigint, other bigint, links bigint")
+    indexed = materialise(reps.select("rep", "copies", "v", "label").mapInArrow(_permute(shared), f"rep bigint, copies bigint, v array<double>, label {kind}, home int, visits array<int>"), "pivots")
+    lists = indexed.withColumn("d", F.size("v")).withColumn("p", F.explode(F.concat(F.array("home"), "visits"))).withColumn("at_home", F.col("p") == F.col("home")).drop("home", "visits")
+    # vectors of one label and dimension only meet each other; visitors of a list meet its homes
+    sizes = lists.groupBy("label", "d", "p").agg(*(F.ceil(F.count(F.when(c, 1)) / BLOCK).cast("int").alias(n) for c, n in ((F.col("at_home"), "nh"), (~F.col("at_home"), "nv"))))
+    cut = lists.join(sizes.where("nh > 0"), ["label", "d", "p"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("at_home"), F.col("nh")).otherwise(F.col("nv"))).cast("int"))
+    homes = F.sequence(F.lit(0), F.col("nh") - 1)
+    meet = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    mine, zero, one = F.col("mine"), F.lit(0), F.lit(1)
+    others = F.when(F.col("nv") > 0, F.transform(F.sequence(zero, F.col("nv") - 1), lambda o: meet(mine, F.col("nh") + o, zero))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    inside = F.transform(homes, lambda o: meet(F.least(mine, o), F.greatest(mine, o), F.when(mine <= o, zero).otherwise(one)))
+    pairs = F.when(F.col("at_home"), F.concat(inside, others)).otherwise(F.transform(homes, lambda o: meet(o, F.col("nh") + mine, one)))
+    cut = cut.select("label", "d", "p", "rep", "copies", "v", F.inline(pairs))
+    found = cut.groupBy("label", "d", "p", "i", "j").applyInArrow(_links, "rep bigint, other bigint, links bigint")
     found = materialise(found, "links")
     counts = found.where("other < 0").groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.where("other >= 0").select(F.col("rep").alias("u"), F.col("other").alias("v")))

@@ -201,6 +201,23 @@ def test_embeddings(spark):
     assert embed_dedup.dedup_embeddings(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
 
 
+def test_embeddings_crowded_group(spark):
+    """A third of all vectors are jittered copies of one, over several pivots and blocks: no link is lost."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=(3600, 64))
+    v[:1200] = v[0] / np.linalg.norm(v[0]) + r.normal(size=(1200, 64)) * 0.0177
+    v[1200:1300] = v[1300:1400] + 0.15 * r.normal(size=(100, 64))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(v)]
+    got = {x["vec_id"]: x["n_links"] for x in embed_dedup.dedup_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    x = v.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.98
+    np.fill_diagonal(links, False)
+    assert 200_000 < links.sum() < 1200 * 1199
+    assert [got[i] for i in range(len(rows))] == links.sum(axis=1).tolist()
+
+
 def brute_components(rows):
     sets, ids = {}, sorted({i for i, _ in rows})
     for i, t in rows:
