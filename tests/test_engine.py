@@ -67,6 +67,18 @@ def test_block_max_and_probes_are_exact(spark):
     assert key(dense.ivf_search(queries, lists, cents, 5, 6)) == flat
 
 
+@pytest.mark.parametrize("name, exact", [("dense_lsh", "dense_flat_top10"), ("dense_ivf", "dense_flat_top10"), ("late_interaction_ivf", "maxsim_top10")])
+def test_recall_of_approximate_search(spark, name, exact):
+    """Recall of the exact neighbours within the top ten, without each query itself."""
+    from lodestone.plans.registry import QUERIES
+
+    others = lambda q: {(r.qid, r.doc_id) for r in QUERIES[q](spark, SMALL).where("qid <> doc_id").select("qid", "doc_id").collect()}
+    want = others(exact)
+    recall = len(want & others(name)) / len(want)
+    print(name, "recall", recall)
+    assert recall >= 0.9
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("a b c d", "e f g h i")], "q string, d string").select(T.tokens("q").alias("q"), T.tokens("d").alias("d"))
     cut = lambda *a: [list(x) for x in df.select(*T.truncate_pair("q", "d", *a)).first()]
