@@ -26,18 +26,27 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "|"))
 
 
+def selects(paths: Column, known: tuple[str, ...]) -> Column:
+    """Whether the paths choose the mapping of the ``known`` ones: the hash of those it knows is its own; others do not matter."""
+    known = F.array(*map(F.lit, known))
+    return fingerprint(F.array_intersect(paths, known)) == fingerprint(known)
+
+
 def variant_paths(v: Column) -> Column:
     """Nested field paths of the VARIANT objects that LAYOUTS knows: top-level keys and keys of objects in arrays.
 
-    The two levels are read with JVM functions; a value that is no object has no paths.
+    The two levels are read with JVM functions; a value that is no object has no paths. All elements of an
+    array count; an empty array has all the paths known below it, one with anything but objects and nulls none.
     """
-    top = F.coalesce(F.expr("map_keys(try_variant_get(v, '$', 'map<string,variant>'))"), F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    top = F.coalesce(F.expr("map_keys(try_variant_get(v, '$', 'map<string,variant>'))"), empty)
 
     def nested(k):
-        keys = F.expr(f"map_keys(try_variant_get(v, '$.{k}[0]', 'map<string,variant>'))")
-        return F.when(keys.isNotNull(), F.transform(keys, lambda x: F.concat(F.lit(f"{k}[]."), x)))
+        items = F.expr(f"try_variant_get(v, '$.{k}', 'array<map<string,variant>>')")
+        keys = F.flatten(F.transform(F.filter(items, lambda m: m.isNotNull()), F.map_keys))
+        known = sorted({p for paths, _ in LAYOUTS.values() for p in paths if p.startswith(f"{k}[].")})
+        return F.when(F.size(items) == 0, F.array(*map(F.lit, known))).otherwise(F.transform(keys, lambda x: F.concat(F.lit(f"{k}[]."), x)))
 
-    empty = F.array().cast("array<string>")
     parts = [F.coalesce(nested(k), empty) for k in ("messages", "conversations")]
     return F.concat(F.filter(top, lambda k: ~k.isin("messages", "conversations")), *parts)
 
@@ -45,16 +54,22 @@ def variant_paths(v: Column) -> Column:
 def canonical_turns(records: DataFrame, json: str = "record") -> DataFrame:
     """Adds ``layout`` and ``turns`` (role, text) to rows of JSON records of mixed layouts.
 
-    The mapping is picked per row by the fingerprint of its nested field paths. Records whose paths match
-    no mapping, null and malformed JSON get layout null and null turns; extra keys make another layout.
+    The mapping is picked per row by the fingerprint of its nested field paths, restricted to those that the
+    mapping knows; further keys are ignored, and of several mappings the first in LAYOUTS is taken. Records
+    that match no mapping, null and malformed JSON stay with layout null and null turns; see ``unmatched``.
     """
     v = records.withColumn("v", F.expr(f"try_parse_json(`{json}`)"))
-    v = v.withColumn("_fp", fingerprint(variant_paths(F.col("v"))))
+    v = v.withColumn("_paths", variant_paths(F.col("v")))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (paths, sql) in LAYOUTS.items():
-        hit = F.col("_fp") == fingerprint(F.array(*map(F.lit, paths)))
+    for name, (paths, sql) in reversed(LAYOUTS.items()):
+        hit = selects(F.col("_paths"), paths)
         layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, F.expr(sql).cast(TURNS)).otherwise(turns)
-    return v.withColumn("layout", layout).withColumn("turns", turns).drop("v", "_fp")
+    return v.withColumn("layout", layout).withColumn("turns", turns).drop("v", "_paths")
+
+
+def unmatched(canonical: DataFrame) -> DataFrame:
+    """The rows of ``canonical_turns`` that no mapping reads, as they came, to be written out and looked at."""
+    return canonical.where("layout is null").drop("layout", "turns")
 
 
 #: Column layouts of tables with one row per turn: sorted field paths -> (conversation, order, role, text) columns.
@@ -66,17 +81,18 @@ TABLES = {
 
 
 def turns_from_table(df: DataFrame) -> DataFrame:
-    """``(conv_id, turns)`` from a table with a row per turn; the mapping whose fields the table has is chosen.
+    """``(conv_id, turns)`` from a table with a row per turn; the fingerprint of its fields chooses the mapping.
 
     Turns are ordered by turn (nulls first), then role, then text; repeated rows stay. Null role or text is
     empty; rows with a null id form one conversation; further columns are ignored.
     """
-    names = set(df.columns)
-    for fields, (conv, order, role, text) in TABLES.items():
-        if names.issuperset(fields):
-            break
-    else:
-        raise ValueError(f"no mapping for the fields {sorted(names)}")
+    # all rows of a table have the same paths, so one lookup serves them all
+    paths = F.array(*map(F.lit, df.columns))
+    hits = df.sparkSession.range(1).select(*(selects(paths, fields).alias(str(i)) for i, fields in enumerate(TABLES))).first()
+    chosen = [columns for columns, hit in zip(TABLES.values(), hits, strict=True) if hit]
+    if not chosen:
+        raise ValueError(f"no mapping for the fields {sorted(df.columns)}")
+    conv, order, role, text = chosen[0]
     row = F.struct(F.col(order).alias("o"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     rows = df.select(F.col(conv).alias("conv_id"), row.alias("r")).groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
     return rows.select("conv_id", F.expr("transform(rs, r -> struct(r.role as role, r.text as text))").alias("turns"))

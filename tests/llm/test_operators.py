@@ -111,6 +111,26 @@ def test_chat_layouts(spark):
     assert all(r["turns"] is None for r in got[6:])
 
 
+def test_chat_layouts_of_real_records(spark, monkeypatch):
+    """Further keys, empty arrays and keys that only later elements have do not hide a layout; the rest is visible."""
+    q, a = '{"role":"user","content":"q"}', '{"role":"assistant","content":"a"}'
+    rows = ['{"messages":[%s,%s],"id":7}' % (q, a), '{"prompt":"p","source":"s","messages":[{"name":"n","role":"user","content":"q"},%s]}' % a, '{"messages":[{"role":"user"},%s]}' % a]
+    rows += ['{"messages":[]}', '{"system":"s","conversations":[{"from":"human","value":"q","w":1},{"from":"gpt","value":"a"}]}', '{"instruction":"q","output":"a","id":1}']
+    rows += ['{"odd":1}', '{"messages":["q"]}', '{"messages":[null]}', "broken", None]
+    done = chat.canonical_turns(spark.createDataFrame([(r,) for r in rows], "record string"))
+    got = done.collect()
+    assert [r["layout"] for r in got] == ["messages"] * 4 + ["conversations", "instruction"] + [None] * 5
+    assert [[tuple(t) for t in r["turns"]] for r in got[:6]] == [[("user", t), ("assistant", "a")] if t != "" else [] for t in ("q", "q", None, "", "q", "q")]
+    assert [r["record"] for r in chat.unmatched(done).collect()] == rows[6:]
+    # tables with a row per turn go through the same lookup
+    table = spark.createDataFrame([(1, "x", "user", 0, "q")], "conv_id bigint, more string, role string, turn bigint, text string")
+    calls = []
+    monkeypatch.setattr(chat, "fingerprint", lambda paths, f=chat.fingerprint: calls.append(1) or f(paths))
+    assert [tuple(t) for t in chat.turns_from_table(table).first()["turns"]] == [("user", "q")] and calls
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turns_from_table(table.drop("role"))
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
