@@ -1,4 +1,4 @@
-"""Operator 1, line dedup [native]: winnowed line fingerprints, joined, extended, later repeated runs deleted."""
+"""Operator 1, line dedup [native]: hashed windows of lines, each deleted where it occurs earlier."""
 
 from __future__ import annotations
 
@@ -11,43 +11,35 @@ from .common import materialise
 RUN_WORDS = 50
 
 
-def fingerprints(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``doc_id, th, n, hs, fps``: line hashes of each document and its winnowed fingerprints.
+def windows(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """``doc_id, th, wh, s, e``: hash, first and last line of the windows of each document; ``th`` is the text's hash.
 
-    ``hs`` holds the hashes of the lines that are not blank. A window is the shortest run of such lines from
-    a start that has ``run_words`` words; its fingerprint is its least line hash, so a repeated run of that
-    many words always shares one. ``fps`` has (fingerprint, hash of the window, first and last line).
+    A window is the shortest run of lines (blank ones aside) with ``run_words`` words from a start line, or
+    up to an end line. Any run with that many words is the union of its windows: a line has its window to
+    the right inside the run, or else lies in the window up to the run's last line.
     """
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"), F.length(x).alias("c")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.filter(lines, lambda x: x["c"] > 0).alias("ls"))
-    grow = """aggregate(slice(ls, i, {m}), named_struct('w', 0, 'h', 0L, 'f', 9223372036854775807L, 'n', 0),
-      (a, x) -> if(a.w >= {m}, a, named_struct('w', a.w + x.w, 'h', xxhash64(a.h, x.h), 'f', least(a.f, x.h), 'n', a.n + 1)))""".format(m=run_words)
-    windows = F.expr(f"transform(if(size(ls) > 0, sequence(1, size(ls)), cast(array() as array<int>)), i -> struct({grow} as a, i - 1 as s))")
-    rows = rows.withColumn("ws", F.filter(windows, lambda w: w["a"]["w"] >= run_words))
-    fps = F.transform("ws", lambda w: F.struct(w["a"]["f"].alias("fp"), w["a"]["h"].alias("wh"), w["s"].alias("s"), (w["s"] + w["a"]["n"] - 1).alias("e")))
-    return rows.select("doc_id", "th", F.size("ls").alias("n"), F.transform("ls", lambda x: x["h"]).alias("hs"), fps.alias("fps"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.filter(lines, lambda x: x["c"] > 0).alias("ls")).withColumn("back", F.reverse("ls"))
+
+    def grow(ls, seed):
+        # the hash of a window up to a line runs backwards, from another seed
+        one = f"""aggregate(slice({ls}, i, {run_words}), named_struct('w', 0, 'h', {seed}L, 'n', 0),
+          (a, x) -> if(a.w >= {run_words}, a, named_struct('w', a.w + x.w, 'h', xxhash64(a.h, x.h), 'n', a.n + 1)))"""
+        return F.expr(f"filter(transform(if(size({ls}) > 0, sequence(1, size({ls})), cast(array() as array<int>)), i -> struct({one} as a, i - 1 as s)), x -> x.a.w >= {run_words})")
+
+    right = F.transform(grow("ls", 0), lambda w: F.struct(w["a"]["h"].alias("wh"), w["s"].alias("s"), (w["s"] + w["a"]["n"] - 1).alias("e")))
+    # a line that is a window alone is one to the right already
+    left = F.transform(F.filter(grow("back", 1), lambda w: w["a"]["n"] > 1), lambda w: F.struct(w["a"]["h"].alias("wh"), (F.size("ls") - w["s"] - w["a"]["n"]).alias("s"), (F.size("ls") - 1 - w["s"]).alias("e")))
+    return rows.select("doc_id", "th", F.inline(F.concat(right, left)))
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """``doc_id, th, cuts``: for documents that repeat earlier runs, the (first, last) line ranges to delete."""
-    base = materialise(fingerprints(docs.select("doc_id", "text").where("doc_id is not null"), run_words), "lines")
-    hits = base.select("doc_id", "th", F.inline("fps"))
-    # the earliest place of every fingerprinted window; only windows with more places matter
-    place = F.struct("doc_id", "s", "th")
-    first = hits.groupBy("fp", "wh").agg(F.min(place).alias("a"), F.max(F.struct("doc_id", "s")).alias("z")).where("a.doc_id <> z.doc_id or a.s <> z.s").select("fp", "wh", "a")
-    pairs = hits.join(first, ["fp", "wh"]).where("not (doc_id = a.doc_id and s = a.s)").select("doc_id", "th", F.col("a.doc_id").alias("a_doc"), F.col("a.th").alias("a_th"), (F.col("s") - F.col("a.s")).alias("d"), "s", "e").distinct()
-    # windows that follow each other on one diagonal make one matched run; its ends are then extended
-    line = Window.partitionBy("doc_id", "th", "a_doc", "a_th", "d").orderBy("s")
-    runs = pairs.withColumn("new", F.when(F.lag("s").over(line) == F.col("s") - 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(line))
-    runs = runs.groupBy("doc_id", "th", "a_doc", "a_th", "d", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    texts = base.select("doc_id", "th", "hs").dropDuplicates(["doc_id", "th"])
-    ext = runs.join(texts, ["doc_id", "th"]).join(texts.select(F.col("doc_id").alias("a_doc"), F.col("th").alias("a_th"), F.col("hs").alias("ahs")), ["a_doc", "a_th"])
-    tail, head = "slice({a}, {p} + 2, size({a}))", "reverse(slice({a}, 1, {p}))"
-    same = "zip_with({x}, {y}, (p, q) -> p <=> q)"
-    reach = "if(array_position({z}, false) = 0, size({z}), array_position({z}, false) - 1)"
-    right = reach.format(z=same.format(x=tail.format(a="hs", p="e"), y=tail.format(a="ahs", p="(e - d)")))
-    left = reach.format(z=same.format(x=head.format(a="hs", p="s"), y=head.format(a="ahs", p="(s - d)")))
-    ext = ext.select("doc_id", "th", F.expr(f"cast(s - ({left}) as int) as s"), F.expr(f"cast(e + ({right}) as int) as e"))
+    hits = materialise(windows(docs.select("doc_id", "text").where("doc_id is not null"), run_words), "lines")
+    # the earliest place of every window; only windows with more places matter
+    place = F.struct("doc_id", "s")
+    first = hits.groupBy("wh").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("wh", "a")
+    ext = hits.join(first, "wh").where("not (doc_id = a.doc_id and s = a.s)").select("doc_id", "th", "s", "e").distinct()
     # ranges of one document are merged first, so that its list of cuts is no longer than its lines
     w = Window.partitionBy("doc_id", "th").orderBy("s", "e")
     ext = ext.withColumn("fresh", F.when(F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) < F.col("s") - 1, 1).otherwise(0)).withColumn("g", F.sum("fresh").over(w))
@@ -59,8 +51,7 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with ``text`` freed of repeated runs, plus ``n_lines`` and ``n_cut`` (of lines that are not blank).
 
     A run of equal consecutive lines (blank ones aside) with ``run_words`` or more words that occurs earlier,
-    in the order of (doc_id, line), is deleted: for each of its windows the earliest place counts, and the
-    match is extended both ways from there. Words are counted by single spaces. Null text stays null and
+    in the order of (doc_id, line), is deleted, wherever it occurs: see ``windows``. Words are counted by single spaces. Null text stays null and
     null doc_ids keep their texts; a text cut whole becomes empty; rows repeated with id and text are not
     repeats of each other and get the same cuts. Blank lines go with the cuts from texts that are cut, else they stay.
     """

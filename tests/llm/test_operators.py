@@ -62,6 +62,23 @@ def brute_count(model, text):
     return -best[len(text)][1]
 
 
+def test_line_dedup_against_all_runs(spark):
+    """Every line inside any run of enough words that occurs earlier is deleted, not just along the earliest place."""
+    r = np.random.default_rng(2)
+    texts = ["a b c d e", "a b c d e\nx", "a b c d e\nx\nz"]  # the review's case: x of the third stands in the second
+    texts += ["\n".join(" ".join([c] * (1 + ord(c) % 3)) for c in r.choice(list("klmno"), 12)) for _ in range(40)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), 5).collect()
+    words, seen, want = lambda run: sum(x.count(" ") + 1 for x in run), set(), {}
+    for i, t in enumerate(texts):
+        lines, cut = t.split("\n"), set()
+        for s in range(len(lines)):
+            runs = [tuple(lines[s:e]) for e in range(s + 1, len(lines) + 1) if words(lines[s:e]) >= 5]
+            cut |= {p for run in runs if run in seen for p in range(s, s + len(run))}
+            seen |= set(runs)
+        want[i] = "\n".join(x for p, x in enumerate(lines) if p not in cut)
+    assert want[2] == "z" and {x["doc_id"]: x["text"] for x in got} == want
+
+
 def test_token_counts(spark, docs, empty):
     path = token_counts.vocabulary_file()
     model = token_counts.Unigram.from_file(path)
