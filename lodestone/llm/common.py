@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -10,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_KEEP_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """A new folder under the shared ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master gets one in the temp folder; on a cluster it is an error, since a
+    machine's own folder is not seen by the others.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"{tempfile.gettempdir()}/lodestone-scratch"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -42,23 +50,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-#: Bytes hashed at once; longer only for a single longer span.
-HASH_BLOCK = 1 << 16
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of BASE and of its inverse; only those of a usual block are kept."""
-    if _POWERS and n < len(_POWERS[0]):
-        return _POWERS[0], _POWERS[1]
-    m = max(n + 1, HASH_BLOCK + 1)
-    with np.errstate(over="ignore"):
-        up, down = (np.cumprod(np.r_[np.uint64(1), np.full(m - 1, b, np.uint64)], dtype=np.uint64) for b in (BASE, BASE_INVERSE))
-    if n <= HASH_BLOCK:
-        _POWERS[:] = [up, down]
-    return up, down
-
-
 def return_memory() -> None:
     """Hands freed memory back to the system: workers live on between tasks, beside the executor's JVM."""
     import ctypes
@@ -95,9 +86,6 @@ def lean(run, keeps: bool = False):
     return batches_of
 
 
-_BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-
-
 def word_spans(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes as an array, and the start and end of each maximal run of bytes that ``separators`` (256 booleans) lacks."""
     raw = np.frombuffer(data, np.uint8)
@@ -107,28 +95,40 @@ def word_spans(data: bytes, separators: np.ndarray) -> tuple[np.ndarray, np.ndar
     return raw, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+#: So many bytes of a span are hashed together with those of others.
+MANY_BYTES = 1024
+
+
 def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, from prefix sums of code * BASE**i over blocks of HASH_BLOCK bytes.
+    """A 64-bit hash of each span's bytes: eight bytes at a time go through a bijective mixer, all spans at once.
 
-    Spans are in order and do not overlap; a hash depends on the span's bytes alone.
+    Spans of equal length that differ in a single block never collide; others as chance has it, whatever
+    their bytes. A hash depends on the span's bytes and length alone.
 
     >>> raw = np.frombuffer(b"ab ab", np.uint8)
     >>> h = hash_spans(raw, np.array([0, 3]), np.array([2, 5]))
     >>> bool(h[0] == h[1])
     True
     """
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, low + HASH_BLOCK, side="right")))
-        n = int(ends[j - 1]) - low
-        s, e = starts[i:j] - low, ends[i:j] - low
-        up, down = _powers(n)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTE_CODES[raw[low : low + n]] * up[:n], out=total[1:])
-            out[i:j] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        i = j
+    n = ends - starts
+    with np.errstate(over="ignore"):
+        out = mix(n.astype(np.uint64) * MIX1 + BASE)
+        live, at = np.flatnonzero(n > 0), 0
+        if len(live):
+            padded = np.zeros(len(raw) + 8, np.uint8)
+            padded[: len(raw)] = raw
+            words = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        while len(live):
+            if at == MANY_BYTES:  # the rest of very long spans, one by one
+                for k in live.tolist():
+                    rest = hashlib.blake2b(raw[starts[k] + at : ends[k]].tobytes(), digest_size=8).digest()
+                    out[k : k + 1] = mix(out[k : k + 1] ^ np.frombuffer(rest, "<u8"))
+                break
+            left = n[live] - at
+            block = words[starts[live] + at] & _KEEP_BYTES[np.minimum(left, 8)]
+            out[live] = mix((out[live] ^ block) * BASE + MIX2)
+            at += 8
+            live = live[left > 8]
     return out
 
 
@@ -192,10 +192,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = state(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first: both sides of the join are then plain exchanges, and the rows of a hub can be split
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(large.where("u <> v").distinct(), "cc-large")
+        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least)
         now = materialise(small.where("u <> v").distinct(), "cc")
         after = state(now)

@@ -16,6 +16,8 @@ count as popular changes the cost alone: the order is the same for all sets, and
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,19 +36,26 @@ MAX_POPULAR = 1_000_000
 SMALL = 12
 #: Documents of a block of the second round.
 BLOCK = 512
+#: Rows of the blocks that are handled in one call, on average.
+GROUP = 16_384
 #: Groups of equal sets with so many rows may be joined by broadcast, and how many such groups there can be.
 HOT, HOT_GROUPS = 1024, 1_000_000
 #: Keys that the members of one list are spread over in joins.
 SALTS = 64
 #: Id tables are broadcast up to so many rows.
 BROADCAST_IDS = 2_000_000
-#: Classes of the size sketch.
-CLASSES = 128
+#: Shingles for each partition of signatures, at the most on average: what one call of ``_meet`` holds.
+PARTITION = 2_000_000
+#: Bytes of sketches that are compared at once.
+CELLS = 1 << 22
+#: Documents in one row of a long list's members.
+CHUNK = 1 << 17
 
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _STEP, _SEED = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_SEED2 = np.uint64(0xE7037ED1A0B428DB)
 
 
 def shingle_sets(texts) -> list[np.ndarray]:
@@ -133,29 +142,40 @@ def signatures(h: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
+    """Parities of the counts of hashes per class: as many classes as the power of two from twice the set's size on."""
+    m = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8)).tobytes()
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of bytes) with classes put together until they are ``width`` bytes long."""
+    while x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
 
 def _near(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """False where the class counts of two sets differ by more than n / 7 in sum, n elements in all: no link is lost.
+    """False where more classes differ in parity than the n / 7 elements a linked pair of n in all may differ in.
 
-    Counts at 255 hide the rest; such pairs pass.
+    An element in one set alone changes one class, so no link is lost; the longer sketches are folded.
     """
-    far = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=1)
-    return (7 * far <= n) | (x == 255).any(axis=1) | (y == 255).any(axis=1)
+    width = min(x.shape[1], y.shape[1])
+    x, y = (np.ascontiguousarray(_folded(z, width)).view(np.uint64) for z in (x, y))
+    return 7 * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= n
 
 
-_PASS1 = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sketch", pa.binary())])
+_PASS1 = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("sketch", pa.binary())])
 
 
 def _pass1(batches):
-    """A row per document (n, key and sketch of its set: how many hashes fall into each class); and rows of kind 1: shingles met LOCAL times or more in the task's batch."""
+    """A row per document (n, a 128-bit key and the sketch of its set); and rows of kind 1: shingles met LOCAL times or more in the task's batch."""
     for b in batches:
         sets = shingle_sets(strings(b.column(2)))
         with np.errstate(over="ignore"):
-            key = np.array([mix(s * _SEED + _STEP).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            key, key2 = (np.array([mix(s * m + _STEP).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64) for m in (_SEED, _SEED2))
         n = np.array([len(s) for s in sets], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), b.column(1), pa.array(n), pa.array(key), pa.array([_sketch(s) for s in sets], pa.binary())], schema=_PASS1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), b.column(0), b.column(1), pa.array(n), pa.array(key), pa.array(key2), pa.array([_sketch(s) for s in sets], pa.binary())], schema=_PASS1)
         if sets and n.sum():
             every = np.concatenate(sets)
             every.sort()
@@ -163,7 +183,7 @@ def _pass1(batches):
             got = np.unique(ahead[ahead[: len(last)] == last]) if len(every) >= LOCAL else every[:0]
             times, got = np.searchsorted(every, got, "right") - np.searchsorted(every, got), got.view(np.int64)
             none = pa.nulls(len(got), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(got), np.int32)), none, none, pa.array(times.astype(np.int64)), pa.array(got), pa.nulls(len(got), pa.binary())], schema=_PASS1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(got), np.int32)), none, none, pa.array(times.astype(np.int64)), pa.array(got), none, pa.nulls(len(got), pa.binary())], schema=_PASS1)
 
 
 def _pass2(popular, parts: int):
@@ -205,11 +225,11 @@ def _fits(a, b):
     return WHOLE * np.minimum(a, b).astype(np.int64) >= PART * np.maximum(a, b).astype(np.int64)
 
 
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("members", pa.binary())])
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64()), ("chunk", pa.int32()), ("members", pa.binary())])
 
 
 def _meet(key, table):
-    """Candidate pairs of one partition's signature lists; lists over SMALL give a star and their members."""
+    """Candidate pairs of one partition's signature lists; lists over SMALL give a star and, in chunks, their members."""
     sig, doc, ids, sizes, base = [], [], [], [], 0
     for r in table.to_pylist():
         n = len(r["ids"]) // 8
@@ -249,11 +269,16 @@ def _meet(key, table):
         if len(pairs):
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
-    n, m = len(pairs), len(large)
-    del sig, doc, ids, sizes, order, keep, first, size, left, right
+    rows = []
+    for x in large:
+        name = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+        rows += [(name, k // (8 * CHUNK), x[k : k + 8 * CHUNK]) for k in range(0, len(x), 8 * CHUNK)]
+    n, m = len(pairs), len(rows)
+    del sig, doc, ids, sizes, order, keep, first, size, left, right, large
     return_memory()
-    lists = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(list(large), pa.binary())])
-    return pa.Table.from_arrays([pa.concat_arrays([pa.array(pairs[:, c]), pa.nulls(m, pa.int64())]) for c in (0, 1)] + [lists], schema=_FOUND)
+    columns = [pa.concat_arrays([pa.array(pairs[:, c]), pa.nulls(m, pa.int64())]) for c in (0, 1)]
+    columns += [pa.concat_arrays([pa.nulls(n, t), pa.array([r[c] for r in rows], t)]) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+    return pa.Table.from_arrays(columns, schema=_FOUND)
 
 
 def _set_rows(batches):
@@ -261,11 +286,22 @@ def _set_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(strings(b.column(1)))], pa.binary())], names=["doc_id", "set"])
 
 
+def _by_width(sketches: list):
+    """Sketches by their length in bytes: which they are, and a matrix of them."""
+    widths = np.array([len(x) for x in sketches])
+    for w in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == w)
+        yield at, np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint8).reshape(len(at), w)
+
+
 def _sketched(batches):
     """Drops pairs whose sketches rule a link out."""
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, CLASSES) for c in (2, 3))
-        ok = _near(x, y, b.column(4).to_numpy())
+        xs, ys, n = b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_numpy()
+        ok = np.zeros(b.num_rows, bool)
+        for at, x in _by_width(xs):
+            for inner, y in _by_width([ys[i] for i in at.tolist()]):
+                ok[at[inner]] = _near(x[inner], y, n[at[inner]])
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
 
@@ -279,20 +315,54 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _cross(key, table):
-    """Of one block of a large list, the pairs of its asking documents with its others, as far as sketches allow."""
-    ids, comp, size, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n", "asks"))
-    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(-1, CLASSES)
-    asked = np.flatnonzero(~asks)
-    out = [np.empty((0, 2), np.int64)]
-    for i in np.flatnonzero(asks).tolist():
-        j = asked[(comp[asked] != comp[i]) & _fits(size[asked], size[i])]
-        j = j[_near(sketch[j], sketch[i : i + 1], size[j] + size[i])]
-        out.append(np.stack([np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0)
+def _crosses(table):
+    """``_cross`` of each block of the lists in ``table``, which holds whole blocks."""
+    columns = [table[c].to_numpy() for c in ("list", "x", "y")]
+    order = np.lexsort(columns[::-1])
+    table = table.take(order).combine_chunks()
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    parts = [_cross(int(columns[0][a]), table.slice(a, z - a)) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+    pairs = np.unique(np.concatenate(parts), axis=0)
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _cross(here: int, table) -> np.ndarray:
+    """Of one block of a large list, the pairs of its asking documents with its others, as far as sketches allow.
+
+    Documents that share several lists are paired in the first of these alone, so a pair comes out once
+    however many lists hold both.
+    """
+    ids, comp, size, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n", "asks"))
+    shared = table["lists"].combine_chunks()
+    stops, flat = shared.offsets.to_numpy() - shared.offsets[0].as_py(), shared.flatten().to_numpy()
+    groups = list(_by_width(table["sketch"].to_pylist()))
+    left, right = [], []
+    for at, x in groups:
+        mine, x = at[asks[at]], x[asks[at]]
+        for other, y in groups:
+            theirs, width = other[~asks[other]], min(x.shape[1], y.shape[1])
+            if not len(mine) or not len(theirs) or max(x.shape[1], y.shape[1]) > 4 * width:
+                continue
+            y64 = np.ascontiguousarray(_folded(y[~asks[other]], width)).view(np.uint64)
+            step = max(1, CELLS // (len(theirs) * width))
+            for k in range(0, len(mine), step):
+                i = mine[k : k + step, None]
+                x64 = np.ascontiguousarray(_folded(x[k : k + step], width)).view(np.uint64)
+                ok = (comp[i] != comp[theirs]) & _fits(size[i], size[theirs])
+                ok &= 7 * np.bitwise_count(x64[:, None] ^ y64).sum(axis=2, dtype=np.int64) <= size[i] + size[theirs]
+                r, c = np.nonzero(ok)
+                left.append(i[r, 0])
+                right.append(theirs[c])
+    if left:
+        i, j = np.concatenate(left), np.concatenate(right)
+        first = {k: {x for x in flat[stops[k] : stops[k + 1]].tolist() if x < here} for k in np.unique(np.r_[i, j]).tolist()}
+        new = np.array([first[a].isdisjoint(first[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = ids[i[new]], ids[j[new]]
+        return np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1)
+    return np.empty((0, 2), np.int64)
+
+
 def _of_lists(members: DataFrame, lists: DataFrame) -> DataFrame:
     """The join on ``list``, salted by document: the members of one list spread over SALTS keys, and so over tasks."""
     salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -307,7 +377,9 @@ def _open_lists(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("list", "comp").agg(F.count("*").alias("k"))
     lists = sizes.groupBy("list").agg(F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all")).where("m.k < all")
     cut = lambda n: F.ceil(n / BLOCK).cast("int")
-    return lists.select("list", F.col("m.comp").alias("main"), cut(F.col("all")).alias("others"), cut(F.col("all") - F.col("m.k")).alias("askers"))
+    lists = lists.select("list", F.col("m.comp").alias("main"), F.col("all"), (F.col("all") - F.col("m.k")).alias("asking"))
+    lists = lists.select("list", "main", "all", "asking", cut(F.col("all")).alias("others"), cut(F.col("asking")).alias("askers"))
+    return lists.select("list", "main", "others", "askers", (F.col("all") * F.col("askers") + F.col("asking") * F.col("others")).alias("rows"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -319,17 +391,12 @@ def _blocks(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.xxhash64("doc_id"))
     own = lambda n: F.pmod("at", F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["list", "doc_id", "comp", "n", "sketch"]
+    kept = ["list", "doc_id", "comp", "n", "sketch", "lists"]
     asked = rows.select(*kept, F.lit(False).alias("asks"), each("askers").alias("x"), own("others").alias("y"))
     asking = rows.where("comp <> main").select(*kept, F.lit(True).alias("asks"), own("askers").alias("x"), each("others").alias("y"))
     return asked.union(asking)
 
 
-def _by_id(info: DataFrame) -> DataFrame:
-    """Size and sketch per doc_id; of rows that share an id the one with the largest set."""
-    return info.where("n > 0").groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("m")).select("doc_id", "m.n", "m.sketch")
-
-
 def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of ``(a, b)`` that are links: by sketch first, then on the sets of the documents that remain."""
     sketch = info.where("n > 0").select("doc_id", "n", "sketch")
@@ -351,10 +418,10 @@ def _copies(info: DataFrame) -> DataFrame:
     Groups of HOT rows or more, and of at least a HOT_GROUPS-th of all rows, are joined by broadcast: there are
     at most HOT_GROUPS of them. All others are small enough for one task, and their rows alone are shuffled.
     """
-    same = info.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("k"))
+    same = info.where("n > 0 and doc_id is not null").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top"), F.count("*").alias("k"))
     same = materialise(same.where("rep <> top").drop("top"), "jaccard-same")
     bar = max(HOT, -(-info.count() // HOT_GROUPS))
-    hot, on = F.broadcast(same.where(F.col("k") >= bar)), ["key", "n"]
+    hot, on = F.broadcast(same.where(F.col("k") >= bar)), ["key", "key2", "n"]
     rows = info.select("doc_id", "th", *on)
     both = rows.join(hot, on).union(rows.join(hot, on, "left_anti").join(same.where(F.col("k") < bar), on))
     return both.where("doc_id <> rep").select("doc_id", "th", "rep")
@@ -371,7 +438,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    info = materialise(rows.mapInArrow(lean(_pass1), "kind int, doc_id bigint, th bigint, n bigint, key bigint, sketch binary"), "jaccard-info")
+    info = materialise(rows.mapInArrow(lean(_pass1), "kind int, doc_id bigint, th bigint, n bigint, key bigint, key2 bigint, sketch binary"), "jaccard-info")
     counts = info.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR)
     top = counts.orderBy(F.desc("n"), "key").limit(MAX_POPULAR).toArrow()  # bounded by MAX_POPULAR
     known, times = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
@@ -381,22 +448,28 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     copies = materialise(_copies(info), "jaccard-copies")
     ids = broadcast_if_small(copies.select("doc_id", "th"), copies.count(), BROADCAST_IDS)
     alone = rows.where("doc_id is not null").join(ids, ["doc_id", "th"], "left_anti")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
     blobs = alone.select("doc_id", "th", "text").mapInArrow(lean(_pass2(popular, parts)), "p int, sigs binary, docs binary, ids binary, sizes binary")
-    found = materialise(blobs.groupBy("p").applyInArrow(_meet, "a bigint, b bigint, members binary"), "jaccard-found")
+    found = materialise(blobs.groupBy("p").applyInArrow(_meet, "a bigint, b bigint, list bigint, chunk int, members binary"), "jaccard-found")
     links = _verified(docs, info, found.where("a is not null").select("a", "b").distinct())
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     twins = copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comps = connected_components(edges.union(twins))
     # second round: large lists that are not one component yet
-    large = found.where("members is not null").select("members").distinct().withColumn("list", F.xxhash64("members"))
+    large = found.where("members is not null").select("list", "chunk", "members").dropDuplicates(["list", "chunk"])
     if not large.isEmpty():
         comps = materialise(comps, "jaccard-comps")
         members = large.mapInArrow(_members, "list bigint, doc_id bigint").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
         open_ = materialise(_open_lists(members), "jaccard-lists")
         if not open_.isEmpty():
-            members = materialise(_of_lists(members, open_), "jaccard-open")
-            pairs = _blocks(members.join(_by_id(info), "doc_id")).groupBy("list", "x", "y").applyInArrow(_cross, "a bigint, b bigint").distinct()
+            members = materialise(_of_lists(members, open_.drop("rows")), "jaccard-open")
+            shared = members.groupBy("doc_id").agg(F.sort_array(F.collect_set("list")).alias("lists"))  # at most a document's signatures
+            sizes = info.where("n > 0").select("doc_id", "n", "sketch").distinct()
+            rows = open_.agg(F.sum("rows")).first()[0]
+            blocks = _blocks(members.join(shared, "doc_id").join(sizes, "doc_id"))
+            blocks = blocks.withColumn("g", F.pmod(F.xxhash64("list", "x", "y"), F.lit(-(-rows // GROUP))))
+            pairs = blocks.groupBy("g").applyInArrow(_crosses, "a bigint, b bigint").distinct()
             more = _verified(docs, info, materialise(pairs, "jaccard-cross"))
             stars = comps.where("node <> component_id").select(F.col("node").alias("u"), F.col("component_id").alias("v"))
             comps = connected_components(stars.union(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
@@ -406,7 +479,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def _members(batches):
     for b in batches:
-        for key, m in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True):
+        for key, m in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
             ids = np.frombuffer(m, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids)], names=["list", "doc_id"])
 

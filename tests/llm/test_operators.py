@@ -280,6 +280,28 @@ def test_jaccard(spark, docs, empty, monkeypatch, small, popular):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+def test_hash_of_long_words(spark):
+    """Words that a polynomial modulo a power of two cannot tell apart, and very long ones, have hashes of their own."""
+    parity = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n)) for n in (256, 1024, 4096) for flip in (0, 1)]
+    long = parity + ["x" * 5000, "x" * 4999 + "y", "y" + "x" * 4999] + [w[:9] for w in parity]
+    rows = spark.createDataFrame(list(enumerate(long)), "doc_id bigint, text string")
+    want = {w: min(i for i, x in enumerate(long) if x == w) for w in long}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_documents(rows).collect()} == {i: want[w] for i, w in enumerate(long)}
+
+
+def test_sketches_lose_no_link():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 30, 31, 33, 300, 5000):
+        pool = common.mix(r.integers(0, 1 << 62, 3 * n + 3).astype(np.uint64))
+        for share in (0, 1, 2, 3):
+            x, y = pool[:n], np.r_[pool[n * share // 20 : n], pool[n : n + n * share // 15]]
+            both = len(np.intersect1d(x, y))
+            a, b = (np.frombuffer(jaccard_join._sketch(z), np.uint8)[None] for z in (x, y))
+            if 4 * both >= 3 * (len(x) + len(y) - both):
+                assert jaccard_join._near(a, b, np.array([len(x) + len(y)])).all()
+        assert n < 30 or not jaccard_join._near(a, np.frombuffer(jaccard_join._sketch(pool[n : 2 * n]), np.uint8)[None], np.array([2 * n])).any()
+
+
 def test_signatures_lose_no_pair():
     r = np.random.default_rng(0)
     for n in (1, 2, 3, 4, 7, 12, 40, 90, 300, 900):
