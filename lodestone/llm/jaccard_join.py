@@ -322,20 +322,14 @@ def _crosses(table):
     table = table.take(order).combine_chunks()
     columns = [c[order] for c in columns]
     first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
-    parts = [_cross(int(columns[0][a]), table.slice(a, z - a)) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
+    parts = [_cross(table.slice(a, z - a)) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
     pairs = np.unique(np.concatenate(parts), axis=0)
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _cross(here: int, table) -> np.ndarray:
-    """Of one block of a large list, the pairs of its asking documents with its others, as far as sketches allow.
-
-    Documents that share several lists are paired in the first of these alone, so a pair comes out once
-    however many lists hold both.
-    """
+def _cross(table) -> np.ndarray:
+    """Of one block of a large list, the pairs of its asking documents with its others, as far as sketches allow."""
     ids, comp, size, asks = (table[c].to_numpy(zero_copy_only=False) for c in ("doc_id", "comp", "n", "asks"))
-    shared = table["lists"].combine_chunks()
-    stops, flat = shared.offsets.to_numpy() - shared.offsets[0].as_py(), shared.flatten().to_numpy()
     groups = list(_by_width(table["sketch"].to_pylist()))
     left, right = [], []
     for at, x in groups:
@@ -356,9 +350,7 @@ def _cross(here: int, table) -> np.ndarray:
                 right.append(theirs[c])
     if left:
         i, j = np.concatenate(left), np.concatenate(right)
-        first = {k: {x for x in flat[stops[k] : stops[k + 1]].tolist() if x < here} for k in np.unique(np.r_[i, j]).tolist()}
-        new = np.array([first[a].isdisjoint(first[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
-        i, j = ids[i[new]], ids[j[new]]
+        i, j = ids[i], ids[j]
         return np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1)
     return np.empty((0, 2), np.int64)
 
@@ -391,7 +383,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("at", F.xxhash64("doc_id"))
     own = lambda n: F.pmod("at", F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["list", "doc_id", "comp", "n", "sketch", "lists"]
+    kept = ["list", "doc_id", "comp", "n", "sketch"]
     asked = rows.select(*kept, F.lit(False).alias("asks"), each("askers").alias("x"), own("others").alias("y"))
     asking = rows.where("comp <> main").select(*kept, F.lit(True).alias("asks"), own("askers").alias("x"), each("others").alias("y"))
     return asked.union(asking)
@@ -464,10 +456,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         open_ = materialise(_open_lists(members), "jaccard-lists")
         if not open_.isEmpty():
             members = materialise(_of_lists(members, open_.drop("rows")), "jaccard-open")
-            shared = members.groupBy("doc_id").agg(F.sort_array(F.collect_set("list")).alias("lists"))  # at most a document's signatures
             sizes = info.where("n > 0").select("doc_id", "n", "sketch").distinct()
             rows = open_.agg(F.sum("rows")).first()[0]
-            blocks = _blocks(members.join(shared, "doc_id").join(sizes, "doc_id"))
+            blocks = _blocks(members.join(sizes, "doc_id"))
             blocks = blocks.withColumn("g", F.pmod(F.xxhash64("list", "x", "y"), F.lit(-(-rows // GROUP))))
             pairs = blocks.groupBy("g").applyInArrow(_crosses, "a bigint, b bigint").distinct()
             more = _verified(docs, info, materialise(pairs, "jaccard-cross"))
