@@ -1,4 +1,4 @@
-"""Operator 1, line dedup [native]: hashed windows of lines, each deleted where it occurs earlier."""
+"""Operator 1, line dedup [native]: winnowed line hashes find repeated runs, which are deleted where they occur later."""
 
 from __future__ import annotations
 
@@ -11,35 +11,49 @@ from .common import materialise
 RUN_WORDS = 50
 
 
-def windows(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``doc_id, th, wh, s, e``: hash, first and last line of the windows of each document; ``th`` is the text's hash.
+def fingerprints(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """``doc_id, th, s, fp, picked, ends``: a row per line that starts a window; ``th`` is the text's hash.
 
-    A window is the shortest run of lines (blank ones aside) with ``run_words`` words from a start line, or
-    up to an end line. Any run with that many words is the union of its windows: a line has its window to
-    the right inside the run, or else lies in the window up to the run's last line.
-    """
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"), F.length(x).alias("c")))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.filter(lines, lambda x: x["c"] > 0).alias("ls")).withColumn("back", F.reverse("ls"))
-
-    def grow(ls, seed):
-        # the hash of a window up to a line runs backwards, from another seed
-        one = f"""aggregate(slice({ls}, i, {run_words}), named_struct('w', 0, 'h', {seed}L, 'n', 0),
-          (a, x) -> if(a.w >= {run_words}, a, named_struct('w', a.w + x.w, 'h', xxhash64(a.h, x.h), 'n', a.n + 1)))"""
-        return F.expr(f"filter(transform(if(size({ls}) > 0, sequence(1, size({ls})), cast(array() as array<int>)), i -> struct({one} as a, i - 1 as s)), x -> x.a.w >= {run_words})")
+    A window is the shortest run of lines (blank ones aside) with ``run_words`` words from line ``s`` on. Its
+    fingerprint ``fp`` is the least of its lines' hashes (the first of equal ones), so two equal windows have
+    the same one. Neighbouring windows mostly share their minimum: ``picked`` marks the first window of each
+    selected position, so the picked rows are the winnowed fingerprints of the text.
 
-    right = F.transform(grow("ls", 0), lambda w: F.struct(w["a"]["h"].alias("wh"), w["s"].alias("s"), (w["s"] + w["a"]["n"] - 1).alias("e")))
-    # a line that is a window alone is one to the right already
-    left = F.transform(F.filter(grow("back", 1), lambda w: w["a"]["n"] > 1), lambda w: F.struct(w["a"]["h"].alias("wh"), (F.size("ls") - w["s"] - w["a"]["n"]).alias("s"), (F.size("ls") - 1 - w["s"]).alias("e")))
-    return rows.select("doc_id", "th", F.inline(F.concat(right, left)))
+    ``ends`` holds ``(wh, e)``, the hash of lines s to e, for the window and for those longer runs from ``s``
+    that have ``run_words`` words no more without their first line: the extensions to the right that no
+    window from a later line covers.
+    """
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w"), F.length(x).alias("c")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.filter(lines, lambda x: x["c"] > 0).alias("ls"))
+    none = "cast(array() as array<struct<wh: bigint, e: int>>)"
+    # of the lines from s on: words, hash, how many lines, least hash and its line, ends; every line has a word
+    start = f"named_struct('w', 0, 'g', 0L, 'n', 0, 'm', ls[s].h, 'p', s, 'go', true, 'ends', {none})"
+    step = f"""if(not a.go or (a.w >= {run_words} and a.w - ls[s].w + x.w >= {run_words}), named_struct('w', a.w, 'g', a.g, 'n', a.n, 'm', a.m, 'p', a.p, 'go', false, 'ends', a.ends), named_struct(
+        'w', a.w + x.w, 'g', xxhash64(a.g, x.g), 'n', a.n + 1,
+        'm', if(a.w < {run_words}, least(a.m, x.h), a.m), 'p', if(a.w < {run_words} and x.h < a.m, s + a.n, a.p), 'go', true,
+        'ends', if(a.w + x.w >= {run_words}, array_append(a.ends, named_struct('wh', xxhash64(a.g, x.g), 'e', s + a.n)), a.ends)))"""
+    from_line = F.expr(f"transform(if(size(ls) > 0, sequence(0, size(ls) - 1), cast(array() as array<int>)), s -> struct(s, aggregate(slice(ls, s + 1, {run_words}), {start}, (a, x) -> {step}) as a))")
+    starts = rows.select("doc_id", "th", F.filter(from_line, lambda x: F.size(x["a"]["ends"]) > 0).alias("ws"))
+    each = F.expr("transform(ws, (x, i) -> struct(x.s as s, x.a.m as fp, i = 0 or ws[i - 1].a.p <> x.a.p as picked, x.a.ends as ends))")
+    return starts.select("doc_id", "th", F.inline(each))
 
 
 def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``doc_id, th, cuts``: for documents that repeat earlier runs, the (first, last) line ranges to delete."""
-    hits = materialise(windows(docs.select("doc_id", "text").where("doc_id is not null"), run_words), "lines")
-    # the earliest place of every window; only windows with more places matter
+    """``doc_id, th, cuts``: for documents that repeat earlier runs, the (first, last) line ranges to delete.
+
+    Winnowed fingerprints are joined first: whatever does not hold one that a second place has too is dropped.
+    The matches that remain are extended to both sides, window by window: every window around a matched
+    position is verified by the hash of all its lines against the earliest place with the same fingerprint
+    and hash, so no two places are ever paired beyond that. A run with ``run_words`` words is the union of
+    such windows, so all its lines are found, whichever earlier place it repeats.
+    """
+    marks = materialise(fingerprints(docs.select("doc_id", "text").where("doc_id is not null"), run_words), "lines")
     place = F.struct("doc_id", "s")
-    first = hits.groupBy("wh").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("wh", "a")
-    ext = hits.join(first, "wh").where("not (doc_id = a.doc_id and s = a.s)").select("doc_id", "th", "s", "e").distinct()
+    again = marks.where("picked").groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp")
+    met = materialise(marks.drop("picked").hint("merge").join(again.hint("merge"), "fp", "left_semi").select("fp", "doc_id", "th", "s", F.inline("ends")), "line-matches")
+    # the earliest place of every window; only windows with more places matter
+    first = met.groupBy("fp", "wh").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp", "wh", "a")
+    ext = met.join(first.hint("merge"), ["fp", "wh"]).where("not (doc_id = a.doc_id and s = a.s)").select("doc_id", "th", "s", "e").distinct()
     # ranges of one document are merged first, so that its list of cuts is no longer than its lines
     w = Window.partitionBy("doc_id", "th").orderBy("s", "e")
     ext = ext.withColumn("fresh", F.when(F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) < F.col("s") - 1, 1).otherwise(0)).withColumn("g", F.sum("fresh").over(w))
@@ -51,22 +65,23 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """``docs`` with ``text`` freed of repeated runs, plus ``n_lines`` and ``n_cut`` (of lines that are not blank).
 
     A run of equal consecutive lines (blank ones aside) with ``run_words`` or more words that occurs earlier,
-    in the order of (doc_id, line), is deleted, wherever it occurs: see ``windows``. Words are counted by single spaces. Null text stays null and
+    in the order of (doc_id, line), is deleted, wherever it occurs: see ``repeated_runs``. Words are counted by single spaces. Null text stays null and
     null doc_ids keep their texts; a text cut whole becomes empty; rows repeated with id and text are not
-    repeats of each other and get the same cuts. Blank lines go with the cuts from texts that are cut, else they stay.
+    repeats of each other and get the same cuts; further columns stay, but for ``n_lines`` and ``n_cut``. Blank lines go with the cuts from texts that are cut, else they stay.
     """
-    found = materialise(repeated_runs(docs, run_words), "cuts")
+    found = materialise(repeated_runs(docs, run_words), "cuts").select(F.col("doc_id").alias("_cut_id"), F.col("th").alias("_cut_th"), F.col("cuts").alias("_cuts"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_cut")]
-    rows = docs.select(*names).withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(found.withColumnRenamed("th", "_th"), ["doc_id", "_th"], "left")
+    rows = docs.select(*names).withColumn("_cut_h", F.xxhash64("text"))
+    # one plan whatever the sizes: texts move once
+    rows = rows.hint("merge").join(found.hint("merge"), (rows["doc_id"] == found["_cut_id"]) & (rows["_cut_h"] == found["_cut_th"]), "left")
     # only texts with cuts are split into lines here
     split = "split(text, '\\n', -1)"
-    rows = rows.withColumn("_l", F.when(F.col("cuts").isNotNull(), F.expr(f"filter({split}, x -> length(x) > 0)")))
-    gone = F.expr("aggregate(cuts, 0, (a, c) -> a + c.e - c.s + 1)")
+    rows = rows.withColumn("_cut_ls", F.when(F.col("_cuts").isNotNull(), F.expr(f"filter({split}, x -> length(x) > 0)")))
+    gone = F.expr("aggregate(_cuts, 0, (a, c) -> a + c.e - c.s + 1)")
     n_lines = F.expr(f"cast(size(filter(coalesce({split}, array()), x -> length(x) > 0)) as bigint)")
     # each kept stretch lies between two cuts
-    stretches = F.expr("transform(sequence(0, size(cuts)), k -> slice(_l, if(k = 0, 1, cuts[k - 1].e + 2), greatest(0, if(k = size(cuts), size(_l), cuts[k].s) - if(k = 0, 0, cuts[k - 1].e + 1))))")
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
+    stretches = F.expr("transform(sequence(0, size(_cuts)), k -> slice(_cut_ls, if(k = 0, 1, _cuts[k - 1].e + 2), greatest(0, if(k = size(_cuts), size(_cut_ls), _cuts[k].s) - if(k = 0, 0, _cuts[k - 1].e + 1))))")
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretches), "\n"))
     out = rows.withColumn("n_lines", n_lines).withColumn("n_cut", F.coalesce(gone, F.lit(0)).cast("bigint")).withColumn("text", text)
     return out.select(*names, "n_lines", "n_cut")
 

@@ -52,6 +52,19 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_awkward(spark):
+    """Clashing columns, null ids, ties, repeated lines in one text, and far fewer fingerprints than lines."""
+    line = [" ".join(words(12, i)) for i in range(40)]
+    rows = [(1, "\n".join(line)), (2, "\n".join(line[3:30])), (None, "\n".join(line)), (3, "\n".join([line[0]] * 12)), (4, "x" * 100_000 + "\n" + "\n\n".join(line[5:12]))]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in rows], "doc_id bigint, text string, cuts int, th int, h int, s int, _th int")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1]["text"] == rows[0][1] and got[None]["text"] == rows[2][1] and got[2]["text"] == "" and got[2]["n_cut"] == 27
+    assert got[3]["n_cut"] == 11 and got[4]["text"] == "x" * 100_000 and got[1]["cuts"] == 1 and got[1]["_th"] == 5
+    marks = line_dedup.fingerprints(df.where("doc_id = 1"))
+    assert marks.count() == 36 and 1 <= marks.where("picked").count() <= 25
+    assert {r["fp"] for r in marks.collect()} == {r["fp"] for r in marks.where("picked").collect()}
+
+
 def brute_count(model, text):
     best = {0: (0.0, 0)}
     for i in range(1, len(text) + 1):
