@@ -6,40 +6,67 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept, lean, return_memory, scratch_dir
+from .common import hash_spans, kept, lean, return_memory, scratch_dir
 
 END_ID = 2
-#: Distinct chunks of one generation of a worker's memory; two generations are kept.
-CACHE = 120_000
+#: Distinct chunks that a worker keeps; beyond it the half asked for least lately goes.
+CACHE = 400_000
+#: Bytes of texts that are encoded together.
+RUN_BYTES = 1 << 20
 #: Writer settings: version 2 pages give delta encoding where a dictionary stops paying; page indexes are always written.
 PARQUET = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
 
 
-class _Memo(dict):
-    """Two generations of known chunks: what was not asked for during a whole generation goes; misses are noted."""
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
-    def __init__(self):
-        super().__init__()
-        self.old, self.new = {}, {}
 
-    def __missing__(self, chunk):
-        ids = self.old.get(chunk)
-        if ids is None:
-            self.new[chunk] = None
-        else:
-            self[chunk] = ids
-        return ids
+class _Chunks:
+    """Known chunks by hash: where their ids lie in ``ids`` and how many; ``UNSAFE`` ones are not encoded alone."""
+
+    UNSAFE = -1
 
-    def age(self) -> None:
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
-            return_memory()
+    def __init__(self):
+        self.hash, self.at, self.n, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.ids, self.clock = np.empty(0, np.uint32), 0
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 where unknown."""
+        if not len(self.hash):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.hash, wanted), len(self.hash) - 1)
+        return np.where(self.hash[at] == wanted, at, -1)
+
+    def add(self, new: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.hash) + len(new) > CACHE:
+            self._shrink()
+        order = np.argsort(new)
+        at = (np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0) + len(self.ids))[order]
+        place = np.searchsorted(self.hash, new[order])
+        self.hash, self.at, self.n = np.insert(self.hash, place, new[order]), np.insert(self.at, place, at), np.insert(self.n, place, n[order])
+        self.used = np.insert(self.used, place, self.clock)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _shrink(self) -> None:
+        # what the texts at hand need was used by the present clock, and stays
+        late = np.partition(self.used, len(self.used) // 2)[len(self.used) // 2] if len(self.used) else 0
+        keep = self.used >= min(late + 1, self.clock)
+        self.ids = self.ids[_ranges(self.at[keep], np.maximum(self.n[keep], 0))]
+        self.hash, self.n, self.used = self.hash[keep], self.n[keep], self.used[keep]
+        self.at = np.cumsum(np.maximum(self.n, 0)) - np.maximum(self.n, 0)
+        return_memory()
+
+
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... n[0] of them, then those of at[1] and so on."""
+    n = n.astype(np.int64)
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class CachedEncoder:
@@ -48,49 +75,106 @@ class CachedEncoder:
     The pre-tokenizer never joins text across a single space between two other characters, and it leads
     the next piece with that space. So a text is cut at spaces, and each chunk is encoded once while it is
     known; new chunks are encoded together, and the tokens that start with a space say where each begins.
-    Texts with neighbouring white space at a cut or a possible special token are encoded whole.
+    Texts with neighbouring white space at a cut or a possible special token are encoded whole. Chunks are
+    known by a 64-bit hash of their bytes (see ``hash_spans``).
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.seen = Tokenizer.from_file(path), _Memo()
+        self.tokenizer, self.known = Tokenizer.from_file(path), _Chunks()
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.spaced[i] = piece.startswith("\u0120")  # the byte-level alphabet's space
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = tuple({b"<|", *(c.encode() for c in contents if "<|" not in c)})
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        for i in range(0, len(chunks), 1000):
-            part = chunks[i : i + 1000]
-            ids = self._ids([" " + " ".join(part)])[0]
-            at = np.flatnonzero(self.spaced[ids]).tolist()
+    def _unsafe(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunks: list[bytes]) -> np.ndarray:
+        """Chunks that are empty, begin or end in white space, or may hold a special token."""
+        first, last = raw[np.minimum(starts, len(raw) - 1)], raw[ends - 1]
+        odd = (ends <= starts) | _WHITE[first] | _WHITE[last]
+        for k in np.flatnonzero(~odd & ((first > 127) | (last > 127))).tolist():  # white space beyond ASCII
+            text = chunks[k].decode("utf-8", "surrogatepass")
+            odd[k] = text[0].isspace() or text[-1].isspace()
+        for m in self.marks:
+            for k in [k for k, c in enumerate(chunks) if m in c]:
+                odd[k] = True
+        return odd
+
+    def _learn(self, hashes: np.ndarray, odd: np.ndarray, chunks: list[bytes]) -> None:
+        """Adds new chunks, those that are not odd in runs of a thousand."""
+        n, ids, good = np.full(len(chunks), _Chunks.UNSAFE, np.int32), [], np.flatnonzero(~odd)
+        for i in range(0, len(good), 1000):
+            part = [chunks[k] for k in good[i : i + 1000].tolist()]
+            got = self._ids([(b" " + b" ".join(part)).decode("utf-8", "surrogatepass")])[0]
+            at = np.flatnonzero(self.spaced[got])
             if len(at) == len(part):
-                raw = ids.tobytes()
-                self.seen.update({c: raw[4 * s : 4 * e] for c, s, e in zip(part, at, [*at[1:], len(ids)], strict=True)})
+                n[good[i : i + 1000]] = np.diff(np.r_[at, len(got)])
             else:
-                self.seen.update({c: x.tobytes() for c, x in zip(part, self._ids([" " + c for c in part]), strict=True)})
+                each = self._ids([(b" " + c).decode("utf-8", "surrogatepass") for c in part])
+                n[good[i : i + 1000]], got = [len(x) for x in each], np.concatenate(each)
+            ids.append(got)
+        self.known.add(hashes, n, np.concatenate(ids) if ids else np.empty(0, np.uint32))
+
+    def flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) behind each other, each with ``end_id`` if given, and how many each has."""
+        stops = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[stops[0] : stops[-1]] if data is not None else np.empty(0, np.uint8)
+        begin, stop = stops[:-1] - stops[0], stops[1:] - stops[0]
+        spaces = np.flatnonzero(raw == 32)
+        # pieces between spaces, at least one a text; both are in order, so the k-th start belongs to the k-th end
+        starts, ends = np.sort(np.r_[begin, spaces + 1]), np.sort(np.r_[stop, spaces])
+        pieces = np.searchsorted(spaces, stop) - np.searchsorted(spaces, begin) + 1
+        head = np.cumsum(pieces) - pieces
+        tail = np.ones(len(starts), bool)
+        tail[head] = False
+        rest = np.flatnonzero(tail)
+        group, hashes = pd.factorize(hash_spans(raw, starts[rest], ends[rest]))  # distinct chunks
+        some = np.empty(len(hashes), np.int64)
+        some[group[::-1]] = rest[::-1]  # where each occurs first
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        hashes, some, group = hashes[order], some[order], rank[group]
+        known, bytes_ = self.known, raw.tobytes()
+        known.clock += 1
+        place = known.find(hashes)
+        known.used[place[place >= 0]] = known.clock
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            s, e = starts[some[new]], ends[some[new]]
+            chunks = [bytes_[a:z] for a, z in zip(s.tolist(), e.tolist(), strict=True)]
+            self._learn(hashes[new], self._unsafe(raw, s, e, chunks), chunks)
+            place = known.find(hashes)
+        place = place[group]
+        first = [bytes_[a:z].decode("utf-8", "surrogatepass") for a, z in zip(starts[head].tolist(), ends[head].tolist(), strict=True)]
+        n = np.zeros(len(starts), np.int64)
+        n[rest] = known.n[place]
+        # whole texts: an unsafe piece, or a first one that is empty, ends in white space or holds a mark
+        odd = np.logical_or.reduceat(n < 0, head) if len(head) else np.empty(0, bool)
+        odd |= np.array([any(m.decode() in f for m in self.marks) or (k > 1 and (f == "" or f[-1].isspace())) for f, k in zip(first, pieces.tolist(), strict=True)], bool)
+        own = self._ids([texts[i].as_py() if o else f for i, (f, o) in enumerate(zip(first, odd.tolist(), strict=True))])
+        n[np.repeat(odd, pieces)] = 0
+        at = np.zeros(len(starts), np.int64)
+        at[rest] = known.at[place]
+        n[head] = size = np.array([len(x) for x in own], np.int64)
+        at[head] = len(known.ids) + np.cumsum(size) - size
+        store = [known.ids, *own]
+        if end_id is not None:
+            last = head + pieces
+            at, n = np.insert(at, last, len(known.ids) + int(size.sum())), np.insert(n, last, 1)
+            store.append(np.array([end_id], np.uint32))
+            head, pieces = head + np.arange(len(head)), pieces + 1
+        out = np.concatenate(store)[_ranges(at, n)]
+        return out, np.add.reduceat(n, head) if len(head) else np.empty(0, np.int64)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        seen, cut = self.seen, [t.split(" ") for t in texts]
-        seen.age()
-        rest = [list(map(seen.__getitem__, p[1:])) for p in cut]
-        if seen.new:
-            self._learn([c for c in seen.new if c and not c[0].isspace() and not c[-1].isspace() and "<|" not in c])
-            seen.new.clear()
-            rest = [list(map(seen.__getitem__, p[1:])) if None in r else r for p, r in zip(cut, rest, strict=True)]
-            seen.new.clear()
-        heads = self._ids([p[0] for p in cut])
-        out: list[bytes] = []
-        for text, pieces, head, tail in zip(texts, cut, heads, rest, strict=True):
-            first = pieces[0]
-            if None in tail or "<|" in first or (tail and (not first or first[-1].isspace())):
-                out.append(self._ids([text])[0].tobytes())
-            else:
-                out.append(head.tobytes() + b"".join(tail))
-        return out
+        ids, n = self.flat(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
 def encoder(path: str) -> CachedEncoder:
@@ -100,26 +184,22 @@ def encoder(path: str) -> CachedEncoder:
 
 def _encode(path: str, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    end = np.array([end_id], np.uint32).tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, at, enc = TaskContext.get().partitionId(), 0, encoder(path)
         for b in batches:
-            lengths = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).tolist()
-            ids, i = b.column(0), 0
-            while i < len(lengths):
-                j, size = i, 0
-                while j < len(lengths) and (j == i or size < 1 << 20):
-                    size += lengths[j]
-                    j += 1
-                done = [x + end for x in enc([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])]
-                n = np.array([len(x) // 4 for x in done], np.int64)
+            texts = pc.fill_null(b.column(1), "")
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+            i = 0
+            while i < len(texts):
+                before = int(ends[i - 1]) if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, before + RUN_BYTES, side="right")))
+                flat, n = enc.flat(texts.slice(i, j - i), end_id)
                 stops = np.cumsum(n)
-                flat = pa.py_buffer(b"".join(done))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.Array.from_buffers(pa.int32(), int(stops[-1]), [None, flat]))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(at + stops - n), pa.array(n), lists], schema=schema)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.full(j - i, part, np.int32)), pa.array(at + stops - n), pa.array(n), lists], schema=schema)
                 at += int(stops[-1])
                 i = j
 
