@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import chat_format as chat
 from lodestone.llm import common, decontaminate, embed_dedup, jaccard_join, line_dedup, mixing, quality, token_counts, tokens_out, warc
@@ -195,6 +196,16 @@ def test_mixing(spark, docs, empty):
     half = mixing.mix_sources(docs, budget=2000, block_tokens=256).collect()
     assert sum(r["mix_copies"] * r["mix_tokens"] for r in half) <= 2000
     assert mixing.realise(mixing.mix_sources(empty)).count() == 0
+    shares = spark.createDataFrame([(t / 1000,) for t in tokens.values()], "p double")
+    assert mixing.entropy_alpha(shares, target) == pytest.approx(0.5, abs=1e-6)
+    assert mixing.mix_sources(docs, None, 0.9, block_tokens=256).where("mix_copies < 1").count() == 0
+    # columns with the names used inside, and with those added
+    odd = docs.withColumns({c: F.lit(7) for c in ("state", "epochs", "fits", "nb", "left", "t", "quota", "tokens", "cell", "mix_block", "_key", "_h")})
+    again = mixing.realise(mixing.mix_sources(odd, block_tokens=256))
+    assert again.where("state = 7 and nb = 7 and _key = 7").count() == sum(r["mix_copies"] for r in rows)
+    # in each epoch the blocks of a source stand in a permutation
+    places = again.select("source", "mix_epoch", "mix_block", "mix_order").distinct().collect()
+    assert len({(p["source"], p["mix_epoch"], p["mix_order"]) for p in places}) == len(places)
 
 
 def brute_hits(text, items):
