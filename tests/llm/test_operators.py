@@ -223,7 +223,7 @@ def brute_hits(text, items):
     return len(w), len(hit), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     base = words(120, 1)
     items = [(1, " ".join(base[10:40])), (2, " ".join(base[10:40])), (3, "one, TWO"), (4, None), (5, ""), (10, "cödé"), (30, " ".join(words(30, 7)))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
@@ -231,6 +231,17 @@ def test_decontamination(spark, docs, empty):
     assert got == sorted((r.doc_id, *brute_hits(r.text, items)) for r in docs.collect())
     assert decontaminate.match_benchmark(empty, bench).count() == 0
     assert decontaminate.match_benchmark(docs, bench.limit(0)).where("contaminated").count() == 0
+    # a proximity match lies in one document, however its neighbours begin and end
+    split = spark.createDataFrame([(1, " ".join(base[:6])), (2, " ".join(base[6:13])), (3, None), (4, " ".join(base[:13]))], "doc_id bigint, text string").coalesce(1)
+    one = spark.createDataFrame([(7, " ".join(base[:13]))], "item_id bigint, text string")
+    assert {r["doc_id"]: r["n_items"] for r in decontaminate.match_benchmark(split, one, slop=1).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    # several blocks of items, an index of all terms, null and repeated ids, and clashing columns give the same
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontaminate, "MAX_TERMS", 5)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 700)
+    odd = docs.unionByName(docs.where("doc_id in (1, 5)").withColumn("doc_id", F.lit(None).cast("bigint"))).withColumns({c: F.lit(1) for c in ("n_hit", "shard", "terms", "items")})
+    again = sorted((tuple(r)[:5] + (r["contaminated"],) for r in decontaminate.match_benchmark(odd, bench).drop("items").collect()), key=str)
+    assert again == sorted([*got, *[(None, *g[1:]) for g in got if g[0] in (1, 5)]], key=str)
     near = spark.createDataFrame([(1, " ".join(base[:5] + ["gap"] + base[5:13]), "", "", 1)], SCHEMA)
     phrase = spark.createDataFrame([(1, " ".join(base[:13]))], "item_id bigint, text string")
     assert [decontaminate.match_benchmark(near, phrase, slop=s).first()["n_items"] for s in (None, 1)] == [0, 1]
