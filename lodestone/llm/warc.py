@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import materialise, scratch_dir
 
-CHUNK_CHARS = 1 << 18
 CHUNK_BYTES = 1 << 20
 CRLF = b"\r\n"
 CHUNKS = "record_id bigint, chunk_no int, n_bytes bigint, seen_bytes bigint, digest string, last boolean, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, chunk binary"
@@ -42,21 +41,30 @@ class _Member:
         self.out.write(self.z.flush())
 
 
+def _http_head(length: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
+
+
 def _head(r: dict) -> bytes:
-    body = 0 if r["record_type"] == "revisit" else r["payload_bytes"]
+    body = 0 if r["record_type"] == "revisit" else len(_http_head(r["payload_bytes"])) + r["payload_bytes"]
     lines = [
         "WARC/1.1",
         f"WARC-Type: {r['record_type']}",
-        f"WARC-Record-ID: <urn:page:{r['page_id']}>",
+        f"WARC-Record-ID: <urn:page:{r['record']}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{base32_sha1(r['sha1'])}",
         f"X-Payload-Length: {r['payload_bytes']}",
+        "Content-Type: application/http;msgtype=response",
         f"Content-Length: {body}",
     ]
     if r["url"] is not None:
         lines.insert(4, "WARC-Target-URI: " + r["url"].replace("\r", "%0D").replace("\n", "%0A"))
+    if r["page_id"] is not None:
+        lines.append(f"X-Page-Id: {r['page_id']}")
     if r["refers_to"] is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{r['refers_to']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines.append(f"X-Refers-To-Page-Id: {r['refers_to']}")
+    if r["record_type"] == "revisit":
+        lines += [f"WARC-Refers-To: <urn:page:{r['refers_record']}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(lines).encode() + CRLF + CRLF
 
 
@@ -71,7 +79,7 @@ def _writer(folder: str):
         system.create_dir(root, recursive=True)
         draft, n, size, out, member = f"{root}/.{part:06d}-{uuid.uuid4().hex}", 0, 0, None, None
         for b in batches:
-            for r in b.to_pylist():
+            for r in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):  # one chunk at a time
                 if out is None:
                     out = system.open_output_stream(draft, compression=None)
                 if r["chunk_no"] == 0:
@@ -80,9 +88,11 @@ def _writer(folder: str):
                         member.close()
                     member = _Member(out)
                     member.write(_head(r))
+                    if r["record_type"] == "response":
+                        member.write(_http_head(r["payload_bytes"]))
                     n += 1
                 if r["record_type"] == "response":
-                    member.write(r["chunk"].encode("utf-8"))
+                    member.write(r["chunk"])
         if out is not None:
             member.write(CRLF + CRLF)
             member.close()
@@ -143,14 +153,19 @@ def records(raw, with_data: bool = True):
             k, _, v = line.decode().partition(": ")
             head[k] = v
         left, sha, seen, no = int(head["Content-Length"]), hashlib.sha1(), 0, 0
-        page = lambda k: int(head[k].split(":")[-1].rstrip(">")) if k in head else None
+        if left and head.get("Content-Type", "").startswith("application/http"):
+            while (line := src.line()) is not None:  # the payload is behind the HTTP head
+                left -= len(line) + 2
+                if not line:
+                    break
+        page = lambda k: int(head[k]) if k in head else None
         while True:
             piece = src.take(min(left, CHUNK_BYTES)) if left else b""
             left -= len(piece)
             seen += len(piece)
             sha.update(piece)
             last = not left
-            yield (page("WARC-Record-ID"), no, len(piece), seen, base64.b32encode(sha.digest()).decode(), last, head["WARC-Type"], page("WARC-Refers-To"), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), piece if with_data else None)
+            yield (page("X-Page-Id"), no, len(piece), seen, base64.b32encode(sha.digest()).decode(), last, head["WARC-Type"], page("X-Refers-To-Page-Id"), int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), piece if with_data else None)
             no += 1
             if last:
                 break
@@ -182,31 +197,37 @@ def _reader(with_data: bool):
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     """Writes ``pages(page_id, url, html)`` as gzip archives under ``folder``; returns ``(path, records, bytes)``.
 
-    Of rows with equal payloads the smallest page_id is the response, the others are revisits of it. Null
-    html is an empty payload; a row with null page_id is left out (a record needs an id); repeated page_ids
-    keep one row (the greatest url, html). Payloads longer than CHUNK_CHARS are cut in the JVM and pass as
-    (record, chunk number) rows; revisits carry no body. Further columns are ignored.
+    Every row is a record. Of rows with equal payloads the one with the smallest page_id (null ids last, then
+    the smallest url) is the response, the others are revisits of it without a body. Null html is an empty
+    payload. A record's identifier is made of page_id, payload, url and, for rows equal in all of these, a
+    number. Payloads pass as (record, chunk number) rows of CHUNK_BYTES, cut in the JVM; the writer holds one
+    chunk. Further columns are ignored.
     """
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
-    pages = pages.where("page_id is not null").select("page_id", url.alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    marks = pages.select("page_id", "url", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.octet_length("html").cast("bigint").alias("payload_bytes"))
-    # one row per page_id: of repeated ids the greatest (url, sha1) stays, found without moving payloads
-    marks = marks.groupBy("page_id").agg(F.max(F.struct("url", "sha1", "payload_bytes")).alias("m"), F.count("*").alias("times"))
-    marks = materialise(marks.select("page_id", "m.url", "m.sha1", "m.payload_bytes", "times"), "warc-marks")
-    first = marks.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = materialise(marks.join(first, ["sha1", "payload_bytes"]).where("page_id <> first").select("page_id", F.col("first").alias("refers_to")), "warc-revisits")
-    # written tables have known sizes: Spark broadcasts the revisits if they are few, else moves the pages once
-    rows = pages.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).join(revisits, "page_id", "left")
-    repeated = marks.where("times > 1").select("page_id", F.col("url").alias("keep_url"), F.col("sha1").alias("keep_sha1"))
-    if not repeated.isEmpty():
-        rows = rows.join(repeated, "page_id", "left")
-        twice = rows.where("keep_sha1 = sha1 and keep_url <=> url").dropDuplicates(["page_id"])
-        rows = rows.where("keep_sha1 is null").union(twice).drop("keep_url", "keep_sha1")
-    n = F.greatest(F.lit(1), F.ceil(F.length("html") / CHUNK_CHARS).cast("int"))
-    rows = rows.withColumns({"record_type": F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"), "payload_bytes": F.octet_length("html").cast("bigint")})
-    pieces = F.when(F.col("record_type") == "revisit", F.array(F.lit(""))).when(n == 1, F.array("html")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr("html", i * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS))))
-    cut = rows.select("page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to", F.posexplode(pieces).alias("chunk_no", "chunk"))
-    return cut.mapInArrow(_writer(folder), "path string, records bigint, bytes bigint")
+    rows = pages.select("page_id", url.alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("body"))
+    rows = rows.select("page_id", "url", F.sha1("body").alias("sha1"), F.octet_length("body").cast("bigint").alias("payload_bytes"), "body")
+    kinds = materialise(rows.groupBy("page_id", "url", "sha1", "payload_bytes").agg(F.count("*").alias("times")), "warc-kinds")
+    order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", F.col("url").isNull().alias("m"), "url")
+    first = kinds.groupBy("sha1", "payload_bytes").agg(F.min(order).alias("w"), F.sum("times").alias("all")).where(F.col("all") > 1)
+    first = materialise(first.select("sha1", "payload_bytes", F.col("w.page_id").alias("first_id"), F.col("w.url").alias("first_url")), "warc-first")
+    kinds = kinds.join(first, ["sha1", "payload_bytes"]).withColumn("leads", F.col("page_id").eqNullSafe(F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url")))
+    # written tables have known sizes: Spark broadcasts them if they are small, else moves the pages once
+    kinds = materialise(kinds.select(F.col("page_id").alias("k_id"), F.col("url").alias("k_url"), F.col("sha1").alias("k_sha1"), "leads", "first_id", "first_url", "times"), "warc-shared")
+    rows = rows.join(kinds, F.col("page_id").eqNullSafe(F.col("k_id")) & F.col("url").eqNullSafe(F.col("k_url")) & (F.col("sha1") == F.col("k_sha1")), "left").drop("k_id", "k_url", "k_sha1")
+    rows = rows.withColumn("copy", F.lit(0))
+    if not kinds.where("times > 1").isEmpty():
+        # rows equal in everything: one of each kind goes on, and is written as often as it occurred
+        same = rows.where("times > 1").dropDuplicates(["page_id", "url", "sha1", "payload_bytes"])
+        same = same.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("times").cast("int") - 1)))
+        rows = rows.where("times is null or times = 1").unionByName(same)
+    name = lambda i, u, c: F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), "sha1", F.hex(F.crc32(F.coalesce(u, F.lit("-")).cast("binary"))), c.cast("string"))
+    own = F.coalesce(F.col("leads") & (F.col("copy") == 0), F.lit(True))
+    rows = rows.withColumns({"record": name(F.col("page_id"), F.col("url"), F.col("copy")), "refers_record": F.when(~own, name(F.col("first_id"), F.col("first_url"), F.lit(0))), "refers_to": F.when(~own, F.col("first_id")), "record_type": F.when(own, "response").otherwise("revisit")})
+    n = F.when(own, F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / CHUNK_BYTES).cast("int"))).otherwise(1)
+    kept = ["record", "page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to", "refers_record"]
+    cut = rows.select(*kept, "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    chunk = F.when(F.col("record_type") == "response", F.substring("body", F.col("chunk_no") * CHUNK_BYTES + 1, F.lit(CHUNK_BYTES)))
+    return cut.select(*kept, "chunk_no", chunk.alias("chunk")).mapInArrow(_writer(folder), "path string, records bigint, bytes bigint")
 
 
 def read_warc(spark: SparkSession, archives: DataFrame, with_data: bool = True) -> DataFrame:
@@ -233,12 +254,12 @@ def op10_warc_round_trip(spark, sf_dir: str) -> DataFrame:
 
 
 _ORACLE = """
-with p as (select page_id, coalesce(html, '') h from pages where page_id is not null),
-m as (select page_id, strlen(h)::bigint n, upper(sha1(h)) s, min(page_id) over (partition by h) f from p)
+with p as (select page_id, coalesce(html, '') h, url from pages),
+m as (select page_id, strlen(h)::bigint n, upper(sha1(h)) s, min(page_id) over (partition by h) f, row_number() over (partition by h order by page_id nulls last, url nulls last) i from p)
 select page_id, n payload_bytes,
   list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform(range(0, 4), lambda j:
      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(s, (5 * i + 1)::int, 5))::bigint >> (15 - 5 * j)::bigint) & 31)::int + 1, 1)), 'string_agg', '')), 'string_agg', '') payload_digest,
-  case when f = page_id then 'response' else 'revisit' end record_type, case when f <> page_id then f end refers_to from m"""
+  case when i = 1 then 'response' else 'revisit' end record_type, case when i > 1 then f end refers_to from m"""
 
 QUERIES = {"op10_warc_round_trip": op10_warc_round_trip}
 ORACLES = {"op10_warc_round_trip": _ORACLE}

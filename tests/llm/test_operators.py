@@ -353,8 +353,8 @@ def test_signatures_lose_no_pair():
 
 def test_warc(spark, monkeypatch):
     big = "é<p>\r\n\r\nWARC/1.1\r\n" * 40_000
-    rows = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", big), (6, "u", "same"), (6, "u", "same"), (7, "u", big + "x"), (None, "u", "z")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    rows = [(1, "http://a\r\nX: y", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", big), (6, "u", "same"), (6, "u", "same"), (7, "u", big + "x"), (None, "u", "z"), (None, "u", "z"), (None, "v", "same"), (8, "u", "abc"), (8, "u", "other"), (8, "v", "abc")]
+    pages = spark.createDataFrame([(*r, 0, "") for r in rows], "page_id bigint, url string, html string, times int, sha1 string")
     folder = common.scratch_dir(spark, "warc-test")
     warc.write_warc(pages, folder).write.parquet(f"{folder}-index")
     chunks = warc.read_warc(spark, spark.read.parquet(f"{folder}-index")).orderBy("record_id", "chunk_no").collect()
@@ -362,6 +362,8 @@ def test_warc(spark, monkeypatch):
         mine = [c for c in chunks if c["record_id"] == page]
         data = b"".join(c["chunk"] for c in mine)
         assert data == html.encode() and mine[-1]["digest"] == base64.b32encode(hashlib.sha1(data).digest()).decode() == mine[-1]["payload_digest"]
-    assert {c["record_id"]: c["refers_to"] for c in chunks} == {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: 1, 7: None}
-    assert len([c for c in chunks if c["last"]]) == 7
+    got = sorted(((c["record_id"], c["record_type"], c["refers_to"], c["payload_bytes"]) for c in chunks if c["last"]), key=str)
+    n = len(big.encode())
+    want = [(1, "response", None, 4), (2, "revisit", 1, 4), (3, "response", None, 0), (4, "revisit", 3, 0), (5, "response", None, n), (6, "revisit", 1, 4), (6, "revisit", 1, 4), (7, "response", None, n + 1), (None, "response", None, 1), (None, "revisit", None, 1), (None, "revisit", 1, 4), (8, "response", None, 3), (8, "response", None, 5), (8, "revisit", 8, 3)]
+    assert got == sorted(want, key=str)
     assert warc.write_warc(pages.limit(0), common.scratch_dir(spark, "warc-none")).count() == 0
