@@ -10,15 +10,20 @@ TURN, END = "<|im_start|>", "<|im_end|>"
 CONTROL = (TURN, END, "<|endoftext|>", "</s>", "<s>", "[INST]", "[/INST]", "<</SYS>>", "<<SYS>>")
 TURNS = "array<struct<role:string,text:string>>"
 
-#: Layout name -> (nested field paths that identify it, canonical turns as SQL over a parsed VARIANT ``v``).
+#: Layout name -> (nested field paths that identify it, canonical turns as SQL over a VARIANT ``_chat_v``).
 LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
-    "messages": (("messages[].content", "messages[].role"), "transform(cast(variant_get(v,'$.messages','array<struct<role:string,content:string>>') as array<struct<role:string,content:string>>), m -> named_struct('role', m.role, 'text', m.content))"),
-    "conversations": (("conversations[].from", "conversations[].value"), "transform(variant_get(v,'$.conversations','array<struct<from:string,value:string>>'), m -> named_struct('role', case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end, 'text', m.value))"),
-    "instruction_input": (("input", "instruction", "output"), "array(named_struct('role','user','text',concat(coalesce(variant_get(v,'$.instruction','string'),''), case when coalesce(variant_get(v,'$.input','string'),'') = '' then '' else concat('\\n\\n', variant_get(v,'$.input','string')) end)), named_struct('role','assistant','text',variant_get(v,'$.output','string')))"),
-    "instruction": (("instruction", "output"), "array(named_struct('role','user','text',variant_get(v,'$.instruction','string')), named_struct('role','assistant','text',variant_get(v,'$.output','string')))"),
-    "prompt_response": (("prompt", "response"), "array(named_struct('role','user','text',variant_get(v,'$.prompt','string')), named_struct('role','assistant','text',variant_get(v,'$.response','string')))"),
-    "prompt_completion": (("completion", "prompt"), "array(named_struct('role','user','text',variant_get(v,'$.prompt','string')), named_struct('role','assistant','text',variant_get(v,'$.completion','string')))"),
+    "messages": (("messages[].content", "messages[].role"), "transform(cast(variant_get(_chat_v,'$.messages','array<struct<role:string,content:string>>') as array<struct<role:string,content:string>>), m -> named_struct('role', m.role, 'text', m.content))"),
+    "conversations": (("conversations[].from", "conversations[].value"), "transform(variant_get(_chat_v,'$.conversations','array<struct<from:string,value:string>>'), m -> named_struct('role', case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end, 'text', m.value))"),
+    "instruction_input": (("input", "instruction", "output"), "array(named_struct('role','user','text',concat(coalesce(variant_get(_chat_v,'$.instruction','string'),''), case when coalesce(variant_get(_chat_v,'$.input','string'),'') = '' then '' else concat('\\n\\n', variant_get(_chat_v,'$.input','string')) end)), named_struct('role','assistant','text',variant_get(_chat_v,'$.output','string')))"),
+    "instruction": (("instruction", "output"), "array(named_struct('role','user','text',variant_get(_chat_v,'$.instruction','string')), named_struct('role','assistant','text',variant_get(_chat_v,'$.output','string')))"),
+    "prompt_response": (("prompt", "response"), "array(named_struct('role','user','text',variant_get(_chat_v,'$.prompt','string')), named_struct('role','assistant','text',variant_get(_chat_v,'$.response','string')))"),
+    "prompt_completion": (("completion", "prompt"), "array(named_struct('role','user','text',variant_get(_chat_v,'$.prompt','string')), named_struct('role','assistant','text',variant_get(_chat_v,'$.completion','string')))"),
+    "rows_text": (("rows[].role", "rows[].text"), "variant_get(_chat_v,'$.rows','array<struct<role:string,text:string>>')"),
+    "rows_content": (("rows[].content", "rows[].role"), "transform(variant_get(_chat_v,'$.rows','array<struct<role:string,content:string>>'), m -> named_struct('role', m.role, 'text', m.content))"),
+    "rows_value": (("rows[].from", "rows[].value"), "transform(variant_get(_chat_v,'$.rows','array<struct<from:string,value:string>>'), m -> named_struct('role', case m.from when 'human' then 'user' when 'gpt' then 'assistant' else m.from end, 'text', m.value))"),
 }
+#: Fields that hold arrays of turns.
+ARRAYS = ("messages", "conversations", "rows")
 
 
 def fingerprint(paths: Column) -> Column:
@@ -32,39 +37,52 @@ def selects(paths: Column, known: tuple[str, ...]) -> Column:
     return fingerprint(F.array_intersect(paths, known)) == fingerprint(known)
 
 
-def variant_paths(v: Column) -> Column:
-    """Nested field paths of the VARIANT objects that LAYOUTS knows: top-level keys and keys of objects in arrays.
+def variant_paths() -> Column:
+    """Nested field paths of the VARIANT objects in ``_chat_v`` that LAYOUTS knows: top-level keys and keys of objects in arrays.
 
     The two levels are read with JVM functions; a value that is no object has no paths. All elements of an
     array count; an empty array has all the paths known below it, one with anything but objects and nulls none.
     """
     empty = F.array().cast("array<string>")
-    top = F.coalesce(F.expr("map_keys(try_variant_get(v, '$', 'map<string,variant>'))"), empty)
+    top = F.coalesce(F.expr("map_keys(try_variant_get(_chat_v, '$', 'map<string,variant>'))"), empty)
 
     def nested(k):
-        items = F.expr(f"try_variant_get(v, '$.{k}', 'array<map<string,variant>>')")
+        items = F.expr(f"try_variant_get(_chat_v, '$.{k}', 'array<map<string,variant>>')")
         keys = F.flatten(F.transform(F.filter(items, lambda m: m.isNotNull()), F.map_keys))
         known = sorted({p for paths, _ in LAYOUTS.values() for p in paths if p.startswith(f"{k}[].")})
         return F.when(F.size(items) == 0, F.array(*map(F.lit, known))).otherwise(F.transform(keys, lambda x: F.concat(F.lit(f"{k}[]."), x)))
 
-    parts = [F.coalesce(nested(k), empty) for k in ("messages", "conversations")]
-    return F.concat(F.filter(top, lambda k: ~k.isin("messages", "conversations")), *parts)
+    parts = [F.coalesce(nested(k), empty) for k in ARRAYS]
+    return F.concat(F.filter(top, lambda k: ~k.isin(*ARRAYS)), *parts)
+
+
+def uniform(known: tuple[str, ...]) -> Column:
+    """Whether each element of the array that the ``known`` paths lie in has one of them; true for paths of no array.
+
+    An array that mixes layouts is read by no mapping, so that no element is lost.
+    """
+    root, array, _ = known[0].partition("[].")
+    if not array:
+        return F.lit(True)
+    keys = ", ".join(f"'{p.removeprefix(root + '[].')}'" for p in known)
+    return F.expr(f"coalesce(forall(try_variant_get(_chat_v, '$.{root}', 'array<map<string,variant>>'), m -> m is null or arrays_overlap(map_keys(m), array({keys}))), true)")
 
 
 def canonical_turns(records: DataFrame, json: str = "record") -> DataFrame:
-    """Adds ``layout`` and ``turns`` (role, text) to rows of JSON records of mixed layouts.
+    """Adds ``layout`` and ``turns`` (role, text) to rows of records of mixed layouts, JSON strings or VARIANTs.
 
     The mapping is picked per row by the fingerprint of its nested field paths, restricted to those that the
     mapping knows; further keys are ignored, and of several mappings the first in LAYOUTS is taken. Records
-    that match no mapping, null and malformed JSON stay with layout null and null turns; see ``unmatched``.
+    that match no mapping or mix several in one array, null and malformed JSON stay with layout null and null turns; see ``unmatched``.
     """
-    v = records.withColumn("v", F.expr(f"try_parse_json(`{json}`)"))
-    v = v.withColumn("_paths", variant_paths(F.col("v")))
+    parsed = F.col(f"`{json}`") if records.schema[json].dataType.typeName() == "variant" else F.expr(f"try_parse_json(`{json}`)")
+    rows = records.drop("layout", "turns").withColumn("_chat_v", parsed)
+    rows = rows.withColumn("_chat_paths", variant_paths())
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for name, (paths, sql) in reversed(LAYOUTS.items()):
-        hit = selects(F.col("_paths"), paths)
+        hit = selects(F.col("_chat_paths"), paths) & uniform(paths)
         layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, F.expr(sql).cast(TURNS)).otherwise(turns)
-    return v.withColumn("layout", layout).withColumn("turns", turns).drop("v", "_paths")
+    return rows.withColumn("layout", layout).withColumn("turns", turns).drop("_chat_v", "_chat_paths")
 
 
 def unmatched(canonical: DataFrame) -> DataFrame:
@@ -81,9 +99,11 @@ TABLES = {
 
 
 def turns_from_table(df: DataFrame) -> DataFrame:
-    """``(conv_id, turns)`` from a table with a row per turn; the fingerprint of its fields chooses the mapping.
+    """``(conv_id, turns)`` from a table with a row per turn.
 
-    Turns are ordered by turn (nulls first), then role, then text; repeated rows stay. Null role or text is
+    The fingerprint of the table's fields chooses the columns that hold conversation and order; each
+    conversation becomes a record with its turns under their own field names, and the fingerprint of the
+    record's nested paths chooses the mapping to canonical turns, as in ``canonical_turns``. Turns are ordered by turn (nulls first), then role, then text; repeated rows stay. Null role or text is
     empty; rows with a null id form one conversation; further columns are ignored.
     """
     # all rows of a table have the same paths, so one lookup serves them all
@@ -93,9 +113,11 @@ def turns_from_table(df: DataFrame) -> DataFrame:
     if not chosen:
         raise ValueError(f"no mapping for the fields {sorted(df.columns)}")
     conv, order, role, text = chosen[0]
-    row = F.struct(F.col(order).alias("o"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    row = F.struct(F.col(order).alias("o"), F.coalesce(role, F.lit("")).alias(role), F.coalesce(text, F.lit("")).alias(text))
     rows = df.select(F.col(conv).alias("conv_id"), row.alias("r")).groupBy("conv_id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    return rows.select("conv_id", F.expr("transform(rs, r -> struct(r.role as role, r.text as text))").alias("turns"))
+    bare = F.transform("rs", lambda r: F.struct(r[role].alias(role), r[text].alias(text)))
+    records = rows.select("conv_id", F.to_variant_object(F.struct(bare.alias("rows"))).alias("record"))
+    return canonical_turns(records).select("conv_id", "turns")
 
 
 def escape(text: Column) -> Column:

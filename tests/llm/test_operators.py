@@ -158,6 +158,18 @@ def test_chat_layouts_of_real_records(spark, monkeypatch):
     calls = []
     monkeypatch.setattr(chat, "fingerprint", lambda paths, f=chat.fingerprint: calls.append(1) or f(paths))
     assert [tuple(t) for t in chat.turns_from_table(table).first()["turns"]] == [("user", "q")] and calls
+    # ties, nulls, repeated rows, null ids, a long text, clashing columns, other layouts, an empty table
+    long = "x" * 300_000
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, None, None, "first"), (1, 1, "user", "a"), (None, 0, "user", None), (2, 0, "assistant", long)]
+    table2 = spark.createDataFrame([(*r, "no", "no") for r in rows], "conv_id bigint, turn bigint, role string, text string, record string, turns string")
+    want = {1: [("", "first"), ("user", "a"), ("user", "a"), ("user", "b")], None: [("user", "")], 2: [("assistant", long)]}
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.turns_from_table(table2).collect()} == want
+    renamed = table2.select(F.col("conv_id").alias("dialog"), F.col("turn").alias("position"), F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("from"), F.col("text").alias("value"))
+    assert {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in chat.turns_from_table(renamed).collect()} == want
+    assert chat.turns_from_table(table2.limit(0)).count() == 0
+    # a later message of another shape: no mapping reads the record, and it is visible
+    mixed = spark.createDataFrame([('{"messages":[{"role":"user","content":"q"},{"from":"gpt","value":"a"}]}', 1)], "record string, layout int")
+    assert chat.canonical_turns(mixed).first()["layout"] is None and chat.unmatched(chat.canonical_turns(mixed)).count() == 1
     with pytest.raises(ValueError, match="no mapping"):
         chat.turns_from_table(table.drop("role"))
 
