@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import hash_spans, kept, lean, return_memory, scratch_dir
 
 END_ID = 2
-#: Distinct chunks that a worker keeps; beyond it the half asked for least lately goes.
-CACHE = 400_000
+#: Distinct chunks that a worker keeps, about 40 bytes each; beyond it the less useful half goes.
+CACHE = 800_000
+#: New chunks encoded in one string; longer strings take more time a chunk.
+TOGETHER = 100
 #: Bytes of texts that are encoded together.
 RUN_BYTES = 1 << 20
 #: Writer settings: version 2 pages give delta encoding where a dictionary stops paying; page indexes are always written.
@@ -34,6 +36,7 @@ class _Chunks:
 
     def __init__(self):
         self.hash, self.at, self.n, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.times = np.empty(0, np.uint8)  # how often asked for, 3 at the most
         self.ids, self.clock = np.empty(0, np.uint32), 0
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
@@ -50,15 +53,16 @@ class _Chunks:
         at = (np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0) + len(self.ids))[order]
         place = np.searchsorted(self.hash, new[order])
         self.hash, self.at, self.n = np.insert(self.hash, place, new[order]), np.insert(self.at, place, at), np.insert(self.n, place, n[order])
-        self.used = np.insert(self.used, place, self.clock)
+        self.used, self.times = np.insert(self.used, place, self.clock), np.insert(self.times, place, 1)
         self.ids = np.concatenate([self.ids, ids])
 
     def _shrink(self) -> None:
-        # what the texts at hand need was used by the present clock, and stays
-        late = np.partition(self.used, len(self.used) // 2)[len(self.used) // 2] if len(self.used) else 0
-        keep = self.used >= min(late + 1, self.clock)
+        # often or lately used ones stay, and what the texts at hand need, which the present clock marks
+        worth = self.times + 2 * (self.used > self.clock - 8)
+        keep = self.used == self.clock
+        keep[np.lexsort((self.used, worth))[len(worth) // 2 :]] = True
         self.ids = self.ids[_ranges(self.at[keep], np.maximum(self.n[keep], 0))]
-        self.hash, self.n, self.used = self.hash[keep], self.n[keep], self.used[keep]
+        self.hash, self.n, self.used, self.times = self.hash[keep], self.n[keep], self.used[keep], self.times[keep]
         self.at = np.cumsum(np.maximum(self.n, 0)) - np.maximum(self.n, 0)
         return_memory()
 
@@ -105,17 +109,17 @@ class CachedEncoder:
         return odd
 
     def _learn(self, hashes: np.ndarray, odd: np.ndarray, chunks: list[bytes]) -> None:
-        """Adds new chunks, those that are not odd in runs of a thousand."""
+        """Adds new chunks, those that are not odd in runs of TOGETHER."""
         n, ids, good = np.full(len(chunks), _Chunks.UNSAFE, np.int32), [], np.flatnonzero(~odd)
-        for i in range(0, len(good), 1000):
-            part = [chunks[k] for k in good[i : i + 1000].tolist()]
+        for i in range(0, len(good), TOGETHER):
+            part = [chunks[k] for k in good[i : i + TOGETHER].tolist()]
             got = self._ids([(b" " + b" ".join(part)).decode("utf-8", "surrogatepass")])[0]
             at = np.flatnonzero(self.spaced[got])
             if len(at) == len(part):
-                n[good[i : i + 1000]] = np.diff(np.r_[at, len(got)])
+                n[good[i : i + TOGETHER]] = np.diff(np.r_[at, len(got)])
             else:
                 each = self._ids([(b" " + c).decode("utf-8", "surrogatepass") for c in part])
-                n[good[i : i + 1000]], got = [len(x) for x in each], np.concatenate(each)
+                n[good[i : i + TOGETHER]], got = [len(x) for x in each], np.concatenate(each)
             ids.append(got)
         self.known.add(hashes, n, np.concatenate(ids) if ids else np.empty(0, np.uint32))
 
@@ -144,6 +148,7 @@ class CachedEncoder:
         known.clock += 1
         place = known.find(hashes)
         known.used[place[place >= 0]] = known.clock
+        known.times[place[place >= 0]] = np.minimum(known.times[place[place >= 0]] + 1, 3)
         new = np.flatnonzero(place < 0)
         if len(new):
             s, e = starts[some[new]], ends[some[new]]
