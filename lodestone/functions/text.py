@@ -30,8 +30,9 @@ def without_stop_words(toks: Column, words=STOP_WORDS) -> Column:
     return F.filter(toks, lambda t: ~t.isin(*words))
 
 
-def strip_possessive(toks: Column) -> Column:
-    return F.transform(toks, lambda t: F.regexp_replace(t, "['’][sS]$", ""))
+def without_possessive(text) -> Column:
+    """The text without the possessive ending of its words."""
+    return F.regexp_replace(_col(text), r"['’][sS](?![\\p{L}\\p{N}_])", "")
 
 
 def prefixed(text, prefix: str) -> Column:
@@ -149,6 +150,8 @@ def _stems(col: pd.Series) -> pd.Series:
     return col.map(lambda ws: [known[w] if w in known else known.setdefault(w, porter(w)) for w in ws])
 
 
-def stemmed(toks: Column) -> Column:
-    """Porter stems of a token array, by an Arrow-batched function that stems each distinct word once."""
+def stemmed(toks: Column, stem: str = "porter") -> Column:
+    """Stems of a token array by a named stemmer, in an Arrow-batched function that stems each distinct word once."""
+    if stem != "porter":
+        raise ValueError(f"no stemmer {stem!r}; known is 'porter'")
     return F.pandas_udf(_stems, "array<string>")(toks)

@@ -16,47 +16,53 @@ def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return rows.join(qrels, ["qid", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
-def _ideal(qrels: DataFrame, cutoff: int | None) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.desc("rel"), "doc_id")
-    rows = qrels.where("rel > 0").withColumn("_r", F.row_number().over(w))
-    rows = rows.where(F.col("_r") <= cutoff) if cutoff else rows
-    return rows.groupBy("qid").agg(F.sum(F.col("rel") / F.log2(F.col("_r") + 1)).alias("ideal"))
+def _totals(qrels: DataFrame, measures) -> DataFrame:
+    """Per topic, relevant documents of each least grade (``total_1`` ...) and ideal gains of each cutoff."""
+    order = Window.partitionBy("qid").orderBy(F.desc("rel"), "doc_id")
+    rows = qrels.withColumn("_r", F.row_number().over(order))
+    gain = F.when(F.col("rel") > 0, F.col("rel") / F.log2(F.col("_r") + 1))
+    out = [F.count_if(F.col("rel") >= g).alias(f"total_{g}") for g in sorted({m.rel for m in measures})]
+    out += [F.sum(F.when(F.col("_r") <= c, gain) if c else gain).alias(f"ideal_{c or 'all'}") for c in sorted({m.cutoff or 0 for m in measures if m.name == "nDCG"})]
+    return rows.groupBy("qid").agg(*out)
+
+
+#: Measure name -> function of (measure, hit, within the cutoff) to the aggregate of a topic's ranked rows. Further
+#: measures are added here; columns are ``rank``, ``rel`` and ``hits_g``, the hits of grade g so far.
+AGGREGATES = {
+    "P": lambda m, hit, inside: F.count_if(hit & inside) / m.cutoff,
+    "R": lambda m, hit, inside: F.count_if(hit & inside) / F.first(f"total_{m.rel}"),
+    "Success": lambda m, hit, inside: F.max((hit & inside).cast("double")),
+    "RR": lambda m, hit, inside: 1 / F.min(F.when(hit & inside, F.col("rank"))),
+    "AP": lambda m, hit, inside: F.sum(F.when(hit & inside, F.col(f"hits_{m.rel}") / F.col("rank"))) / F.first(f"total_{m.rel}"),
+    "nDCG": lambda m, hit, inside: F.sum(F.when(inside, F.greatest(F.col("rel"), F.lit(0)) / F.log2(F.col("rank") + 1))) / F.first(f"ideal_{m.cutoff or 'all'}"),
+}
+
+
+def register_measure(name: str, aggregate) -> None:
+    """Adds a measure: see ``AGGREGATES``."""
+    AGGREGATES[name] = aggregate
 
 
 def per_query(run: DataFrame, qrels: DataFrame, measures: tuple[Measure, ...] = DEFAULT_MEASURES) -> DataFrame:
     """``qid, measure, value`` for every judged topic; a topic without retrieved documents has 0.
 
     Grades are relevant from ``measure.rel`` on. AP and R divide by all relevant judged documents, P by its
-    cutoff, nDCG by the ideal order of all judged documents; a topic with nothing relevant has 0.
+    cutoff, nDCG by the ideal order of all judged documents; a topic with nothing relevant has 0. All
+    measures come from one aggregation of the ranked run.
     """
-    rows, topics = judged(run, qrels), qrels.select("qid").distinct()
-    out = None
     for m in measures:
-        hit = F.col("rel") >= m.rel
-        rows_m = rows.where(F.col("rank") <= m.cutoff) if m.cutoff else rows
-        total = qrels.where(F.col("rel") >= m.rel).groupBy("qid").agg(F.count("*").alias("total"))
-        if m.name == "P":
-            if not m.cutoff:
-                raise ValueError("P needs a cutoff")
-            v = rows_m.groupBy("qid").agg((F.count_if(hit) / m.cutoff).alias("value"))
-        elif m.name == "R":
-            v = rows_m.groupBy("qid").agg(F.count_if(hit).alias("n")).join(total, "qid").select("qid", (F.col("n") / F.col("total")).alias("value"))
-        elif m.name == "Success":
-            v = rows_m.groupBy("qid").agg(F.max(hit.cast("double")).alias("value"))
-        elif m.name == "RR":
-            v = rows_m.where(hit).groupBy("qid").agg((1 / F.min("rank")).alias("value"))
-        elif m.name == "AP":
-            upto = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-            hits = rows_m.where(hit).withColumn("n", F.count("*").over(upto))
-            v = hits.groupBy("qid").agg(F.sum(F.col("n") / F.col("rank")).alias("s")).join(total, "qid").select("qid", (F.col("s") / F.col("total")).alias("value"))
-        elif m.name == "nDCG":
-            dcg = rows_m.groupBy("qid").agg(F.sum(F.greatest(F.col("rel"), F.lit(0)) / F.log2(F.col("rank") + 1)).alias("dcg"))
-            v = dcg.join(_ideal(qrels, m.cutoff), "qid").select("qid", (F.col("dcg") / F.col("ideal")).alias("value"))
-        else:
+        if m.name not in AGGREGATES:
             raise ValueError(f"unknown measure {m.name}")
-        part = topics.join(v, "qid", "left").select("qid", F.lit(m.label).alias("measure"), F.round(F.coalesce("value", F.lit(0.0)), 6).alias("value"))
-        out = part if out is None else out.union(part)
-    return out
+        if m.name == "P" and not m.cutoff:
+            raise ValueError("P needs a cutoff")
+    upto = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    totals = _totals(qrels, measures)
+    rows = judged(run, qrels)
+    rows = rows.withColumns({f"hits_{g}": F.count_if(F.col("rel") >= g).over(upto) for g in sorted({m.rel for m in measures if m.name == "AP"})}).join(totals, "qid")
+    values = [AGGREGATES[m.name](m, F.col("rel") >= m.rel, (F.col("rank") <= m.cutoff) if m.cutoff else F.lit(True)).cast("double").alias(f"v{i}") for i, m in enumerate(measures)]
+    wide = totals.select("qid").join(rows.groupBy("qid").agg(*values), "qid", "left")
+    long = F.array(*[F.struct(F.lit(m.label).alias("measure"), F.round(F.coalesce(F.col(f"v{i}"), F.lit(0.0)), 6).alias("value")) for i, m in enumerate(measures)])
+    return wide.select("qid", F.inline(long))
 
 
 def aggregated(detail: DataFrame) -> DataFrame:

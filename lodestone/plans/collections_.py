@@ -9,6 +9,7 @@ from ..operators import datasets as C
 from ..operators import ranking as R
 from ..operators.index import small
 from ..schema import Adhoc
+from ..storage import scratch
 from . import fixtures as X
 
 QUERIES, ORACLES = {}, {}
@@ -69,17 +70,9 @@ register("intersect_pairs", lambda s, d: X.qrels(s, d).select("qid", "doc_id").i
 register("batch_numbers", lambda s, d: R.batches(C.numbered(X.documents(s, d)), "doc_ix", 64).groupBy("batch").agg(F.count("*").alias("n")), "select i // 64 batch, count(*) n from (select row_number() over (order by doc_id) - 1 i from documents) group by 1")
 
 
-def _folder(s, name):
-    import tempfile
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lodestone"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _through(write, read, name):
     def query(s, d):
-        path = _folder(s, name)
+        path = scratch(s, name)
         write(s, d, path)
         return read(s, path)
 
@@ -118,7 +111,7 @@ register(
 def _stream(s, d):
     from .. import streaming
 
-    index = _folder(s, "stream-index")
+    index = scratch(s, "stream-index")
     streaming.ingest(s, d, "doc_id bigint, text string, lang string, source string, n_chars bigint", index, "documents.parquet")
     return streaming.open_index(s, index).postings
 

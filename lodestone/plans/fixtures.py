@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import BowIndex, postings, small
+from ..operators.index import BlockIndex, BowIndex, postings, small
 from ..schema import BM25
+from ..storage import stored
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,13 +23,15 @@ def topics(spark, d) -> DataFrame:
 
 
 def qrels(spark, d) -> DataFrame:
-    """Wide synthetic judgements: a seventeenth of all (topic, document) pairs, grades 0 to 2."""
-    pairs = documents(spark, d).select("doc_id").crossJoin(small(topics(spark, d).select("qid")))  # the stated topics
-    return pairs.where((F.col("doc_id") * 7 + F.col("qid") * 13) % 17 == 0).select("qid", "doc_id", ((F.col("doc_id") + F.col("qid")) % 3).cast("int").alias("rel"))
+    """Wide synthetic judgements: a seventeenth of all (topic, document) pairs, grades 0 to 2; the two meet on a class of 17."""
+    docs = documents(spark, d).select("doc_id", F.pmod(F.col("doc_id") * 7, F.lit(17)).alias("_c"))
+    tops = topics(spark, d).select("qid", F.pmod(-F.col("qid") * 13, F.lit(17)).alias("_c"))
+    return docs.join(small(tops), "_c").select("qid", "doc_id", ((F.col("doc_id") + F.col("qid")) % 3).cast("int").alias("rel"))
 
 
 def index(spark, d) -> BowIndex:
-    return BowIndex.build(documents(spark, d))
+    """The stored index of the documents, built once in a session."""
+    return BowIndex.load(spark, stored(spark, "bow-index", d, BowIndex.build(documents(spark, d)).save))
 
 
 def bm25(spark, d, k=100) -> DataFrame:
@@ -36,8 +39,12 @@ def bm25(spark, d, k=100) -> DataFrame:
 
 
 def weights(spark, d) -> DataFrame:
-    """Learned-sparse stand-in: log1p of term frequency per document."""
-    return postings(documents(spark, d)).select("doc_id", "term", F.log1p(F.col("tf").cast("double")).alias("w"))
+    """Learned-sparse stand-in: log1p of term frequency per document, from the stored postings."""
+    return index(spark, d).postings.select("doc_id", "term", F.log1p(F.col("tf").cast("double")).alias("w"))
+
+
+def block_index(spark, d) -> BlockIndex:
+    return BlockIndex.load(spark, stored(spark, "block-index", d, BlockIndex.build(weights(spark, d)).save))
 
 
 def query_weights(spark, d) -> DataFrame:

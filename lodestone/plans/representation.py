@@ -33,9 +33,9 @@ register(
     f"""{_W}, b as (select *, row_number() over (partition by qid order by w desc, term) r, count(*) over (partition by qid) n from qw),
 o as (select qid, doc_id, round(sum(b.w * w.w), 6) score from b join w using (term) where r <= ceil(n * 0.5) group by all) {_TOP.format(t='o', k=10)}""",
 )
-register("blockmax_exact", lambda s, d: I.block_max_search(X.query_weights(s, d), X.weights(s, d), 10), f"{_W}, {_DOT} {_TOP.format(t='o', k=10)}")
-register("blockmax_pruned", lambda s, d: I.block_max_search(X.query_weights(s, d), X.weights(s, d), 10, alpha=0.6))
-register("block_bounds", lambda s, d: I.block_bounds(X.weights(s, d), 64).withColumn("bound", F.round("bound", 6)), f"{_W} select term, doc_id // 64 block, round(max(w), 6) bound from w group by all")
+register("blockmax_exact", lambda s, d: X.block_index(s, d).search(X.query_weights(s, d), 10), f"{_W}, {_DOT} {_TOP.format(t='o', k=10)}")
+register("blockmax_pruned", lambda s, d: X.block_index(s, d).search(X.query_weights(s, d), 10, alpha=0.6))
+register("block_bounds", lambda s, d: X.block_index(s, d).bounds.withColumn("bound", F.round("bound", 6)), f"{_W} select term, doc_id // 64 block, round(max(w), 6) bound from w group by all")
 
 
 def _logits(s, d):

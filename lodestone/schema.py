@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
@@ -70,12 +70,12 @@ DEFAULT_MEASURES = (AP, P @ 20, nDCG, nDCG @ 20, RR)
 
 @dataclass
 class Analyzer:
-    """Text analysis of an index: word pattern, stop words, stemming. Part of the index's identity."""
+    """Text analysis of an index: word pattern, possessives, stop words, stemming. Part of the index's identity."""
 
     stop_words: tuple[str, ...] = ()
     stem: str | None = None
     unicode: bool = False
-    options: dict = field(default_factory=dict)
+    possessive: bool = False
 
 
 def identity(params: dict) -> str:
