@@ -53,7 +53,8 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     met = materialise(marks.drop("picked").hint("merge").join(again.hint("merge"), "fp", "left_semi").select("fp", "doc_id", "th", "s", F.inline("ends")), "line-matches")
     # the earliest place of every window; only windows with more places matter
     first = met.groupBy("fp", "wh").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("fp", "wh", "a")
-    ext = met.join(first.hint("merge"), ["fp", "wh"]).where("not (doc_id = a.doc_id and s = a.s)").select("doc_id", "th", "s", "e").distinct()
+    first = materialise(first, "line-first")  # both sides of the join are plain exchanges then, and a hot window can be split
+    ext = met.hint("merge").join(first.hint("merge"), ["fp", "wh"]).where("not (doc_id = a.doc_id and s = a.s)").select("doc_id", "th", "s", "e").distinct()
     # ranges of one document are merged first, so that its list of cuts is no longer than its lines
     w = Window.partitionBy("doc_id", "th").orderBy("s", "e")
     ext = ext.withColumn("fresh", F.when(F.coalesce(F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) < F.col("s") - 1, 1).otherwise(0)).withColumn("g", F.sum("fresh").over(w))

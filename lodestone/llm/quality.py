@@ -151,9 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Factorisa
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text", _stated(docs)).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "n_chars", "quality")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", _stated(docs)).join(F.broadcast(sample), "doc_id")
+    # one row per id, so that the fit is bounded however often an id occurs
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "quality")).alias("m")).select("doc_id", "m.text", "m.n_chars", "m.quality")
     got = rows.mapInArrow(lean(_featuriser), "doc_id bigint, quality int, idx array<int>, val array<float>").toArrow()
-    order = np.lexsort((np.array([sum(x) for x in got["idx"].to_pylist()], np.int64), got["doc_id"].to_numpy())) if got.num_rows else np.empty(0, np.int64)
+    order = np.argsort(got["doc_id"].to_numpy())
     idx, val, y = [x.values.to_numpy(zero_copy_only=False) for x in got["idx"]], [x.values.to_numpy(zero_copy_only=False) for x in got["val"]], got["quality"].to_numpy()
     return fit([idx[i] for i in order], [val[i] for i in order], y[order].astype(float))
 

@@ -123,6 +123,16 @@ def test_quality_held_out(spark, empty):
     kept = quality.score_documents(df.withColumnRenamed("lang", "score"), quality.train(df, labels), keep_text=True)
     assert kept.count() == 400 and set(empty.columns) - {"lang"} <= set(kept.columns)
     assert quality.score_documents(empty, quality.train(empty, labels)).count() == 0
+    # of an id with several texts one is learned from, and null ids, null labels and repeated labels do no harm
+    many = df.union(spark.createDataFrame([(5, f"text {i}", "en", "s", None) for i in range(50)] + [(None, "x", None, None, None), (None, None, None, None, None)], SCHEMA))
+    seen = []
+    fit = quality.fit
+    quality.fit = lambda idx, val, y: seen.append(len(y)) or fit(idx, val, y)
+    try:
+        model = quality.train(many, labels.union(labels).union(spark.createDataFrame([(5, 9), (7, None)], "doc_id bigint, quality int")), max_rows=10)
+    finally:
+        quality.fit = fit
+    assert 0 < seen[0] <= 10 and quality.score_documents(many, model).count() == many.count()
 
 
 def test_chat_round_trip(spark):
