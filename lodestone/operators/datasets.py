@@ -103,7 +103,8 @@ def span_pairs(documents: DataFrame, size: int, seed: int = 0) -> DataFrame:
 
     A span starts at a space at or before a hashed offset, is cut back to its last space and is at most
     ``size`` characters; documents without room for two spans give none. The next document is the next in
-    a hashed order within one of 64 hashed groups, so no task orders all documents.
+    a hashed order within one of 64 hashed groups, so no task orders all documents; behind a group's last
+    comes its first. A document alone in its group gives none.
     """
     length = F.length("text")
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id")).cast("binary")), 1, 8), 16, 10).cast("bigint")
@@ -116,5 +117,17 @@ def span_pairs(documents: DataFrame, size: int, seed: int = 0) -> DataFrame:
 
     rows = rows.select("doc_id", snapped(F.col("_o")).alias("span_q"), snapped(F.col("_o") + size).alias("span_p"), u.alias("_u")).where("span_q <> '' and span_p <> ''")
     nxt = Window.partitionBy(F.pmod("_u", F.lit(64))).orderBy("_u", "doc_id")
-    rows = rows.withColumn("neg_id", F.lead("doc_id").over(nxt)).withColumn("span_n", F.lead("span_q").over(nxt))
-    return rows.where("neg_id is not null").drop("_u")
+    whole = nxt.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = lambda c: F.coalesce(F.lead(c).over(nxt), F.first(c).over(whole))
+    rows = rows.withColumn("neg_id", after("doc_id")).withColumn("span_n", after("span_q"))
+    return rows.where("neg_id <> doc_id").drop("_u")
+
+
+def span_batches(spans: DataFrame, size: int) -> DataFrame:
+    """``batch, row, col, doc_id, other_id, relevance``: each first span against all second spans of its batch, 1 for its own.
+
+    Batches are ``size`` documents each in the order of ids, numbered by ``numbered``.
+    """
+    rows = numbered(spans).select("doc_id", F.floor(F.col("doc_ix") / size).alias("batch"), (F.col("doc_ix") % size).alias("row"))
+    other = rows.select("batch", F.col("row").alias("col"), F.col("doc_id").alias("other_id"))
+    return rows.join(other, "batch").select("batch", "row", "col", "doc_id", "other_id", F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0).alias("relevance"))

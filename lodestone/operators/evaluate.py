@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ def _totals(qrels: DataFrame, measures) -> DataFrame:
 #: measures are added here; columns are ``rank``, ``rel`` and ``hits_g``, the hits of grade g so far.
 AGGREGATES = {
     "P": lambda m, hit, inside: F.count_if(hit & inside) / m.cutoff,
-    "R": lambda m, hit, inside: F.count_if(hit & inside) / F.first(f"total_{m.rel}"),
+    "R": lambda m, hit, inside: F.try_divide(F.count_if(hit & inside).cast("double"), F.first(f"total_{m.rel}")),
     "Success": lambda m, hit, inside: F.max((hit & inside).cast("double")),
     "RR": lambda m, hit, inside: 1 / F.min(F.when(hit & inside, F.col("rank"))),
-    "AP": lambda m, hit, inside: F.sum(F.when(hit & inside, F.col(f"hits_{m.rel}") / F.col("rank"))) / F.first(f"total_{m.rel}"),
-    "nDCG": lambda m, hit, inside: F.sum(F.when(inside, F.greatest(F.col("rel"), F.lit(0)) / F.log2(F.col("rank") + 1))) / F.first(f"ideal_{m.cutoff or 'all'}"),
+    "AP": lambda m, hit, inside: F.try_divide(F.sum(F.when(hit & inside, F.col(f"hits_{m.rel}") / F.col("rank"))), F.first(f"total_{m.rel}")),
+    "nDCG": lambda m, hit, inside: F.try_divide(F.sum(F.when(inside, F.greatest(F.col("rel"), F.lit(0)) / F.log2(F.col("rank") + 1))), F.first(f"ideal_{m.cutoff or 'all'}")),
 }
 
 
@@ -109,6 +111,28 @@ def early_stopping(history: DataFrame, warmup: int, patience: int) -> DataFrame:
     return rows.withColumn("since", F.col("epoch") - latest).withColumn("stop", F.col("since") >= patience).drop("_at")
 
 
+@dataclass(frozen=True)
+class Validation:
+    """Settings of a validation: its tag, every how many epochs, and what early stopping asks for."""
+
+    tag: str = "val"
+    interval: int = 1
+    warmup: int = 0
+    patience: int = 0
+
+
+def validated_epochs(history: DataFrame, settings: Validation) -> DataFrame:
+    """The rows of the epochs that are validated: every ``interval``-th."""
+    return history.where(F.col("epoch") % settings.interval == 0)
+
+
+def best_epochs(history: DataFrame, settings: Validation) -> DataFrame:
+    """``tag, run, measure, epoch, value``: the first epoch, from the warm-up on, with a measure's greatest value."""
+    rows = validated_epochs(history, settings).where(F.col("epoch") >= settings.warmup)
+    best = rows.groupBy("run", "measure").agg(F.max(F.struct("value", (-F.col("epoch")).alias("e"))).alias("b"))
+    return best.select(F.lit(settings.tag).alias("tag"), "run", "measure", (-F.col("b.e")).alias("epoch"), F.col("b.value").alias("value"))
+
+
 def aggregated_validation(history: DataFrame) -> DataFrame:
     """``run, epoch, value``: mean over measures of their best values so far."""
     upto = Window.partitionBy("run", "measure").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)

@@ -66,3 +66,9 @@ def document_subset(documents: DataFrame, ids: DataFrame, start: int = 0, stop:
 def batches(df: DataFrame, order: str, n: int) -> DataFrame:
     """Adds ``batch``: numbers of groups of ``n`` rows in the order of a dense integer column."""
     return df.withColumn("batch", F.floor(F.col(order) / n).cast("bigint"))
+
+
+def full_batches(df: DataFrame, order: str, n: int) -> DataFrame:
+    """``batches`` without a last one that has fewer than ``n`` rows."""
+    last = F.broadcast(df.agg(F.max(order).alias("_last")))  # one row
+    return batches(df, order, n).crossJoin(last).where(F.col("batch") < F.floor((F.col("_last") + 1) / n)).drop("_last")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import ranking as R  # noqa: F401
 from ..operators.index import BlockIndex, BowIndex, postings, small
 from ..schema import BM25
 from ..storage import stored

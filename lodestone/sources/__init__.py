@@ -103,9 +103,20 @@ def read_topic_cache(spark: SparkSession, path: str) -> DataFrame:
     return carry_forward(rows, "file", "line", "title")
 
 
+def write_side_file(df: DataFrame, path: str) -> None:
+    """A small table, such as best metrics or an index's parameters, as one JSON-lines file."""
+    write_jsonl(df.coalesce(1), path)
+
+
+def read_side_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def markdown(table: DataFrame, limit: int = 1000) -> str:
-    """A small result table as markdown, built on the driver."""
-    rows = table.limit(limit).collect()
+    """A result table as markdown, built on the driver; a table with more than ``limit`` rows is an error."""
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; write the table with write_csv instead")
     head = "| " + " | ".join(table.columns) + " |\n|" + "---|" * len(table.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows)
 

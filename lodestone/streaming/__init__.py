@@ -35,3 +35,27 @@ def running_counts(events: DataFrame, minutes: int = 60, late: str = "10 minutes
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     win = F.window("ts", f"{minutes} minutes")
     return rows.groupBy(win, "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def ingest_vectors(spark: SparkSession, source: str, schema: str, centroids: list, index: str, names: str = "*.parquet") -> None:
+    """Appends the vectors ``(doc_id, vec)`` of files not seen yet to an index with fixed centroids: each goes to its nearest list."""
+    cents = spark.createDataFrame(list(enumerate(centroids)), "list int, center array<double>")
+
+    def append(batch: DataFrame, number: int) -> None:
+        nearest(batch, cents).write.mode("overwrite").partitionBy("list").parquet(f"{index}/vectors/batch={number}")
+
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(source)
+    stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{index}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``vectors`` with ``list``, the nearest of the broadcast centroids; of equally near ones the least."""
+    dist = lambda c: F.aggregate(F.zip_with("vec", c["center"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    table = F.broadcast(centroids.agg(F.sort_array(F.collect_list(F.struct("list", "center"))).alias("_cents")))  # one row
+    rows = vectors.crossJoin(table)
+    best = F.array_min(F.transform("_cents", lambda c: F.struct(dist(c).alias("d"), c["list"].alias("list"))))
+    return rows.withColumn("list", best["list"]).drop("_cents")
+
+
+def open_vectors(spark: SparkSession, index: str) -> DataFrame:
+    return spark.read.parquet(f"{index}/vectors").drop("batch")

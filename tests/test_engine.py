@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestone import sources as S
 from lodestone import streaming
 from lodestone.functions import text as T
-from lodestone.operators import datasets, dense, evaluate, index, ranking
-from lodestone.schema import AP, BM25, RR, Measure, P, R, Success, nDCG, require_columns
+from lodestone.functions import tokenizers_
+from lodestone.operators import batches, datasets, dense, evaluate, index, plugins, ranking
+from lodestone.schema import AP, BM25, Analyzer, RR, Measure, P, R, Success, nDCG, require_columns
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -118,3 +119,178 @@ def test_plans_agree_with_sql(spark, name):
     cols = sorted(df.columns)
     got = sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
     assert got == sorted(str(r) for r in con.execute(f"select {', '.join(cols)} from ({entry.oracle_sql()[name]}) z").fetchall())
+
+
+def test_stored_index_equals_unstored(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common word{i % 3} It's Bob's" + " rare" * (i == 4)) for i in range(60)], "doc_id bigint, text string")
+    topics = spark.createDataFrame([(1, "word1 rare"), (2, "common it"), (3, "xyzzyplugh"), (4, None)], "qid int, text string")
+    built = index.BowIndex.build(docs)
+    built.save(str(tmp_path / "bow"))
+    loaded = index.BowIndex.load(spark, str(tmp_path / "bow"))
+    for model in (BM25(), BM25(1.2, 0.75)):
+        a, b = ([tuple(r) for r in x.search(topics, model, 7).orderBy("qid", "rank").collect()] for x in (built, loaded))
+        assert a == b and len(a) == 14
+    assert loaded.search_text("rare", k=3).first()["doc_id"] == 4
+    assert index.BowIndex.build(docs.limit(0)).search(topics).count() == 0
+    plain = index.BowIndex.build(docs, Analyzer(possessive=True))
+    assert {r.term for r in plain.postings.select("term").distinct().collect()} >= {"bob", "it"} and not plain.postings.where("term = 's'").count()
+    with pytest.raises(ValueError, match="no stemmer"):
+        index.analysed("text", Analyzer(stem="other"))
+
+
+def test_block_index(spark, tmp_path):
+    import random
+
+    r = random.Random(1)
+    rows = [(i, t, round(r.random() * 5, 3)) for i in range(400) for t in r.sample("abcdefghij", 4)]
+    weights, queries = spark.createDataFrame(rows, "doc_id bigint, term string, w double"), spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.5), (2, "c", 2.0)], "qid int, term string, w double")
+    built = index.BlockIndex.build(weights, 16)
+    built.save(str(tmp_path / "blocks"))
+    stored = index.BlockIndex.load(spark, str(tmp_path / "blocks"), 16)
+    exact = [tuple(x) for x in index.sparse_search(queries, weights, 10).orderBy("qid", "rank").collect()]
+    for found in (built, stored):
+        assert [tuple(x) for x in found.search(queries, 10).orderBy("qid", "rank").collect()] == exact
+    # pruning more loses at most low ranks here; scores of what is found are exact
+    scores = {(q, d): s for q, d, s, _ in map(tuple, index.sparse_search(queries, weights, None).collect())}
+    pruned = [tuple(x) for x in stored.search(queries, 10, alpha=0.7).collect()]
+    assert all(scores[q, d] == s for q, d, s, _ in pruned) and len({x[:2] for x in pruned} & {x[:2] for x in exact}) >= 14
+    heaviest = index.BlockIndex.build(weights, 16, max_postings=5).weights.groupBy("term").count().collect()
+    assert all(x["count"] == 5 for x in heaviest)
+    small = stored.compressed(16)
+    assert {x.w for x in small.weights.select("w").distinct().collect()} <= {float(i) for i in range(17)}
+    assert small.weights.join(small.bounds, ["term", "block"]).where("w > bound").count() == 0
+
+
+def test_dense_empty_inputs_and_blocks(spark, monkeypatch):
+    none = spark.createDataFrame([], "qid bigint, vec array<float>")
+    docs = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(30)], "doc_id bigint, vec array<float>")
+    queries = docs.select((docs.doc_id * 1).alias("qid"), "vec")
+    for search in (dense.dense_search, dense.lsh_search):
+        assert search(none, docs).count() == search(queries, docs.limit(0)).count() == 0
+    toks = spark.createDataFrame([(i, [[float(i), 1.0], [0.5, float(i % 4)]]) for i in range(12)] + [(99, [])], "id bigint, toks array<array<double>>")
+    want = [tuple(r) for r in dense.max_sim_search(toks, toks, 3).orderBy("qid", "rank").collect()]
+    assert dense.max_sim_search(toks.limit(0), toks).count() == dense.max_sim_search(toks, toks.limit(0)).count() == 0 and len(want) == 36
+    flat = [tuple(r) for r in dense.dense_search(queries, docs, 4).orderBy("qid", "rank").collect()]
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    monkeypatch.setattr(dense, "CELLS", 16)
+    assert [tuple(r) for r in dense.max_sim_search(toks, toks, 3).orderBy("qid", "rank").collect()] == want
+    assert [tuple(r) for r in dense.dense_search(queries, docs, 4).orderBy("qid", "rank").collect()] == flat
+
+
+def test_residual_codes_and_full_scores(spark):
+    import numpy as np
+
+    x = np.random.default_rng(0).normal(size=(60, 4, 8)) / 8
+    tokens = spark.createDataFrame([(i, p, x[i, p].tolist(), True) for i in range(60) for p in range(4)], "id bigint, pos int, vec array<double>, mask boolean")
+    built, cents = dense.late_interaction_index(tokens, 4, bits=5)
+    exact = {(r.qid, r.doc_id) for r in dense.max_sim_search(dense.token_arrays(tokens), dense.token_arrays(tokens), 5).collect()}
+    found = {(r.qid, r.doc_id) for r in dense.late_interaction_search(tokens, dense.decoded(built, cents, 5), cents, 5, 4).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    few = dense.late_interaction_search(tokens, built, cents, 5, 4, n_full_scores=20)
+    assert few.groupBy("qid").count().where("count > 5").count() == 0 and len({(r.qid, r.doc_id) for r in few.collect()} & exact) / len(exact) >= 0.8
+    with pytest.raises(ValueError, match="residual"):
+        dense.decoded(built.drop("residual"), cents)
+
+
+def test_spans(spark):
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(40)) for i in range(200)} | {900: "short", 901: None}
+    got = datasets.span_pairs(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 40).collect()
+    assert len({r.doc_id for r in got}) == len(got) >= 190
+    assert sorted(r.neg_id for r in got) == sorted(r.doc_id for r in got)  # each is once the next of another
+    spans = {r.doc_id: r.span_q for r in got}
+    for r in got:
+        assert 0 < len(r.span_q) <= 40 and 0 < len(r.span_p) <= 40 and r.span_n == spans[r.neg_id] and r.neg_id != r.doc_id
+        at = texts[r.doc_id].find(r.span_q)
+        assert at >= 0 and texts[r.doc_id].find(r.span_p, at + 1) > at and r.span_p in texts[r.doc_id]
+    cells = datasets.span_batches(spark.createDataFrame([(i,) for i in range(7)], "doc_id bigint"), 3).collect()
+    assert len(cells) == 9 + 9 + 1 and sum(c.relevance for c in cells) == 7
+
+
+def test_linear_ranker(spark):
+    import numpy as np
+
+    from lodestone.operators import losses
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 2, 2))
+    true = x @ np.array([2.0, -1.0])
+    order = np.argsort(-true, axis=1)
+    x = np.take_along_axis(x, order[:, :, None], axis=1)
+    pairs = spark.createDataFrame([tuple(map(float, (p[0][0], p[0][1], p[1][0], p[1][1]))) for p in x], "pos_a double, pos_b double, neg_a double, neg_b double")
+    w = losses.linear_ranker(pairs, ["a", "b"])
+    assert w[0] > 0 > w[1] and np.mean((x[:, 0] - x[:, 1]) @ w > 0) > 0.97
+
+
+def test_plug_ins(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    calls = []
+
+    class Fixed:
+        def setup(self):
+            calls.append("setup")
+            self.add = 1.0
+
+        def encode(self, texts):
+            return np.array([[len(t) + self.add] for t in texts])
+
+    df = spark.createDataFrame([(i, "x" * i if i else None, 1) for i in range(150)], "doc_id bigint, text string, vec int").coalesce(1)
+    out = plugins.encoded(df, "doc_id", "text", Fixed(), plugins.Hooks([lambda p: None], [lambda p: setattr(p, "add", 2.0)]))
+    assert {r.id: r.vec for r in out.collect()} == {i: [i + 2.0] for i in range(150)}
+    sizes = plugins.buffered(df.select("doc_id"), lambda t: pa.table({"n": [t.num_rows]}), "n bigint", 64)
+    assert [r.n for r in sizes.collect()] == [64, 64, 22]
+    seen = plugins.per_collection(lambda d: calls.append(1) or d.count())
+    assert seen(df.select("doc_id")) == seen(df.select("doc_id")) == 150 and calls.count(1) == 1
+    with pytest.raises(TypeError):
+        plugins.searcher("model", None, 1)
+    with pytest.raises(KeyError):
+        plugins.RunRetrievers()("a", "b")
+    with pytest.raises(KeyError):
+        plugins.Catalogue().prepare(spark, "none")
+    assert plugins.each(df, lambda b: b.num_rows).count() == 150
+    evaluate.register_measure("Hits", lambda m, hit, inside: F.count_if(hit & inside))
+    run, qrels = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0)], "qid int, doc_id int, score double"), spark.createDataFrame([(1, 2, 1)], "qid int, doc_id int, rel int")
+    assert evaluate.per_query(run, qrels, (Measure("Hits"),)).first().value == 1.0
+
+
+def test_subwords(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = str(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, "a few words", ["x", "y z"]), (2, None, None), (3, "long " * 600, [])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, parts array<string>")
+    t = Tokenizer.from_file(file)
+    got = {r.id: (r.ids, r.n) for r in tokenizers_.subwords(df, "doc_id", "text", file).collect()}
+    for i, text, _ in rows:
+        want = t.encode(text or "", add_special_tokens=False).ids[:512]
+        assert got[i] == (want, len(want))
+    joined = {r.id: r.ids for r in tokenizers_.subwords(df, "doc_id", "parts", file, 5, 3, separator=" | ").collect()}
+    assert joined[1] == t.encode("x | y z", add_special_tokens=False).ids[:3] and joined[3] == []
+
+
+def test_teacher_lists_of_different_length(spark):
+    df = spark.createDataFrame([(0, 1, [(1, 0.5)]), (1, 2, [(1, 0.5), (2, 0.1)])], "ordinal bigint, qid bigint, docs array<struct<doc_id: bigint, score: double>>")
+    assert batches.collate_lists(df.where("ordinal = 1"), 2).first()["teacher"] == [[0.5, 0.1]]
+    with pytest.raises(Exception, match="differ in length"):
+        batches.collate_lists(df, 2).collect()
+
+
+def test_tables_as_text(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "n int, t string")
+    assert S.markdown(df).splitlines()[2:] == ["| 1 | a |", "| 2 |  |"]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        S.markdown(df, 1)
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from lodestone.storage import scratch
+
+    conf = N(get=lambda k, d: None)
+    assert "x-" in scratch(N(conf=conf, sparkContext=N(master="local[2]")), "x")
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            scratch(N(conf=conf, sparkContext=N(master=master)), "x")
