@@ -11,9 +11,9 @@ from .common import connected_components, materialise
 
 COSINE = 0.98
 #: Reference points of a dimension: at most so many, one for each BLOCK vectors of its largest label.
-PIVOTS = 256
+PIVOTS = 1024
 #: Vectors that the pivots are picked from, by their distance from those already picked.
-SAMPLE = 1024
+SAMPLE = 4096
 #: Homes or visitors of an inverted list that one task compares at once.
 BLOCK = 1024
 #: Linked unit vectors are at most so far apart; the slack is for rounding.

@@ -312,6 +312,51 @@ def test_embeddings_crowded_group(spark):
     assert [got[i] for i in range(len(rows))] == links.sum(axis=1).tolist()
 
 
+@pytest.mark.parametrize("crowd", [300, 600])
+def test_embeddings_dense_group(spark, monkeypatch, crowd):
+    """Of 1000 vectors many lie close to one, some linked and some not: recall 1, with many pivots and blocks."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    r = np.random.default_rng(crowd)
+    v = r.normal(size=(1000, 64))
+    v[:crowd] = v[0] / np.linalg.norm(v[0]) + r.normal(size=(crowd, 64)) * r.uniform(0.005, 0.03, (crowd, 1))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    rows = [(i, x.tolist(), 1, 0, 0) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, rep int, links int")
+    got = {x["vec_id"]: x["n_links"] for x in embed_dedup.dedup_embeddings(df).collect()}
+    x = v.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.98
+    np.fill_diagonal(links, False)
+    assert links.sum() > 10_000 and [got[i] for i in range(1000)] == links.sum(axis=1).tolist()
+
+
+def test_embeddings_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (None, [1.0, 0.0], 0), (3, [1.0, 0.0], 1), (3, [0.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = sorted(((x["vec_id"], x["n_links"], x["component_id"], x["kept"]) for x in embed_dedup.dedup_embeddings(df).collect()), key=str)
+    assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, None), (3, 0, 3, True), (3, 0, 3, True)], key=str)
+
+
+def test_extra_columns_and_long_texts(spark):
+    """Columns named like those inside, nulls in any column and very long texts do no harm to the plain operators."""
+    long = " ".join(words(30_000, 77))
+    rows = [(1, long), (2, long + " more"), (None, "a b"), (None, None), (3, ""), (3, "a b"), (3, "a b"), (4, "z" * 100_000)]
+    df = spark.createDataFrame([(i, t, None, None, None, 1, 2, 3, "x", 4, 5) for i, t in rows], SCHEMA + ", n int, key int, th int, part string, ids int, start int")
+    path = token_counts.vocabulary_file()
+    model = token_counts.Unigram.from_file(path)
+    want = sorted(((i, len((t or "").split()), sum(model.count("▁" + w) for w in (t or "").split())) for i, t in rows), key=str)
+    assert sorted((tuple(r) for r in token_counts.count_tokens(df, path).collect()), key=str) == want
+    groups = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(df).collect()), key=str)
+    size = len({tuple(long.split()[k : k + 5]) for k in range(29_996)})
+    assert groups == sorted([(1, size, 1), (2, size + 1, 1), (None, 1, None), (None, 0, None), (3, 0, 3), (3, 1, 3), (3, 1, 3), (4, 1, 4)], key=str)
+    folder = common.scratch_dir(spark, "token-extras")
+    tokens_out.write_tokens(df, folder, tokens_out.tokenizer_file())
+    got = tokens_out.digest_tokens(tokens_out.read_tokens(spark, folder)).collect()
+    lib = tokens_out.encoder(tokens_out.tokenizer_file()).tokenizer
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert quality.score_documents(df, quality.train(df, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"))).count() == len(rows)
+
+
 def brute_components(rows):
     sets, ids = {}, sorted({i for i, _ in rows})
     for i, t in rows:
