@@ -20,29 +20,56 @@ from lodestone.llm.tokens_out import digest_tokens, read_tokens, tokenizer_file,
 BROADCAST_IDS = 2_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """``docs`` but for the rows of ``ids``; the ids are broadcast only up to a counted bound."""
-    ids = materialise(ids.distinct(), name)
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+#: Tells rows apart inside a stage.
+ROW = "_pipeline_row"
+
+
+def _rows(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a number of its own for each row in ROW, and whether that is the doc_id itself.
+
+    Where an id is null or occurs twice, the rows are written out with numbers, so that copies under one id
+    are decided one by one.
+    """
+    docs = docs.drop(ROW)
+    same = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if same.isEmpty():
+        return docs.withColumn(ROW, F.col("doc_id").cast("bigint")), True
+    return materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows"), False
+
+
+def _without(rows: DataFrame, gone: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """``rows`` but for those whose numbers are in ``gone``; the numbers are broadcast only up to a counted bound."""
+    gone = materialise(gone.distinct(), name)
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ROW, "left_anti").select(*columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the classifier's threshold."""
     columns = docs.columns
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, model, keep_text=True).where("predicted = 1").select(*columns)
+    own = {c: f"_pipeline_{c}" for c in columns if c in ("score", "predicted", "held_out")}  # not to be overwritten
+    scored = score_documents(docs.withColumnsRenamed(own), model, keep_text=True).where("predicted = 1")
+    return scored.select(*[F.col(own.get(c, c)).alias(c) for c in columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates."""
-    groups = similar_documents(docs)
-    return _without(docs, groups.where("doc_id <> component_id").select("doc_id"), "dropped-near")
+    """One document, the one with the smallest id (null ids last), of each group of near-duplicates."""
+    rows, plain = _rows(docs)
+    groups = similar_documents(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    if plain:
+        gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW))
+    else:
+        groups = materialise(groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW), "pipeline-groups")
+        first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", ROW)).alias("m"))
+        gone = groups.join(first, "component_id").where(F.col(ROW) != F.col(f"m.{ROW}")).select(ROW)
+    return _without(rows, gone, docs.columns, "dropped-near")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    hits = match_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, hits.where("contaminated").select("doc_id"), "dropped-benchmark")
+    """Documents that the benchmark does not contaminate; every row is judged by its own text."""
+    rows, _ = _rows(docs)
+    hits = match_benchmark(rows.select(F.col(ROW).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(rows, hits.where("contaminated").select(F.col("doc_id").alias(ROW)), docs.columns, "dropped-benchmark")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +92,7 @@ STAGES = [
     ("token ids", token_stage),
 ]
 
-#: The classifier and the tokenizer cannot be stated in SQL; the stages are tested against brute force.
+#: The classifier and the tokenizer cannot be stated in SQL; the whole is tested against brute force.
 ORACLE_SQL = None
 
 
