@@ -3,40 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+from ..storage import scratch as scratch_dir
+
+__all__ = ["broadcast_if_small", "connected_components", "hash_spans", "kept", "lean", "materialise", "mix", "return_memory", "scratch_dir", "strings", "text_batches", "word_spans"]
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Masks that keep the first 0 to 8 bytes of a little-endian word.
 _KEEP_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared ``spark.checkpoint.dir``.
-
-    Where that is unset, a local master gets one in the temp folder; on a cluster it is an error, since a
-    machine's own folder is not seen by the others.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"{tempfile.gettempdir()}/lodestone-scratch"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to shared scratch as Parquet and read it back: cuts lineage, survives lost executors."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Broadcast hint only when the counted ``rows`` stay within ``limit``; beyond it Spark shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -371,8 +371,9 @@ def brute_components(rows):
     return sorted((i, len(sets[i]), comp[i]) for i, _ in rows)
 
 
-@pytest.mark.parametrize(("small", "popular"), [(12, 64), (2, 3)])
-def test_jaccard(spark, docs, empty, monkeypatch, small, popular):
+@pytest.mark.parametrize(("small", "popular", "hot"), [(12, 64, 32), (2, 3, 32), (2, 3, 3), (12, 64, 2)])
+def test_jaccard(spark, docs, empty, monkeypatch, small, popular, hot):
+    monkeypatch.setattr(jaccard_join, "HOT_IN_BATCH", hot)
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "POPULAR", popular)
     monkeypatch.setattr(jaccard_join, "HOT", small + 1)
