@@ -46,8 +46,6 @@ SALTS = 64
 BROADCAST_IDS = 2_000_000
 #: Shingles for each partition of signatures, at the most on average: what one call of ``_meet`` holds.
 PARTITION = 2_000_000
-#: A signature met in so many documents of one batch is handed on once, by the least of them.
-HOT_IN_BATCH = 32
 #: Bytes of sketches that are compared at once.
 CELLS = 1 << 22
 #: Documents in one row of a long list's members.
@@ -188,37 +186,9 @@ def _pass1(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(got), np.int32)), none, none, pa.array(times.astype(np.int64)), pa.array(got), none, pa.nulls(len(got), pa.binary())], schema=_PASS1)
 
 
-_PASS2 = pa.schema([("p", pa.int32()), ("hot", pa.bool_()), ("sigs", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64()), ("chunk", pa.int64()), ("members", pa.binary())])
-PASS2 = "p int, hot boolean, sigs binary, docs binary, ids binary, sizes binary, a bigint, b bigint, list bigint, chunk bigint, members binary"
-
-
-def _number(data: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
-
-
-def _unique(members: bytes) -> int:
-    """A negative chunk number of its own for each chunk of a list that comes from many batches."""
-    return -1 - (_number(members) & ((1 << 63) - 1))
-
-
-def _list_of(part: int, low: int) -> int:
-    """The number of the list of a signature that some batches hand on by proxy."""
-    return _number(part.to_bytes(8, "little") + low.to_bytes(8, "little"))
-
-
-def _rows(schema: pa.Schema, names: tuple[str, ...], rows: list) -> pa.RecordBatch:
-    """A batch with values for ``names`` and nulls elsewhere."""
-    columns = {n: pa.array([r[i] for r in rows], schema.field(n).type) for i, n in enumerate(names)}
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(len(rows), f.type)) for f in schema], schema=schema)
-
-
-def _pass2(popular, parts: int, shared: int):
-    """Signatures of each batch as rows per partition: 32 bits per signature, and which document it is of.
-
-    A signature that ``shared`` documents of the batch have goes on by the least of them alone, in a row
-    marked ``hot``; the batch itself gives the candidate pairs of that document with the others, and their
-    list for the second round. So no partition gets more of one signature than a few documents a batch.
-    """
+def _pass2(popular, parts: int):
+    """Signatures of each batch as one row per partition: 32 bits per signature, and which document it is of."""
+    schema = pa.schema([("p", pa.int32()), ("sigs", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
 
     def run(batches):
         known, levels = popular.value
@@ -238,34 +208,15 @@ def _pass2(popular, parts: int, shared: int):
             doc = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
             sig = np.concatenate(each)
             part = ((sig >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
-            low = sig.astype(np.uint32)
-            order = np.lexsort((ids[doc], low, part))
-            part, low, doc = part[order], low[order], doc[order]
-            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (low[1:] != low[:-1])])
-            size = np.diff(np.r_[first, len(part)])
-            stays, hot, pairs, lists = np.ones(len(part), bool), np.zeros(len(part), bool), [], []
-            for at, n in zip(first[size >= shared].tolist(), size[size >= shared].tolist(), strict=True):
-                x = doc[at : at + n]
-                stays[at + 1 : at + n], hot[at] = False, True
-                near = x[1:][_fits(sizes[x[1:]], sizes[x[0]])]
-                pairs.append(np.stack([np.full(len(near), ids[x[0]]), ids[near]], axis=1))
-                members = np.unique(ids[x]).tobytes()
-                lists += [(_list_of(int(part[at]), int(low[at])), _unique(members[k : k + 8 * CHUNK]), members[k : k + 8 * CHUNK]) for k in range(0, len(members), 8 * CHUNK)]
-            if lists:
-                yield _rows(_PASS2, ("list", "chunk", "members"), lists)
-                yield _rows(_PASS2, ("a", "b"), np.unique(np.concatenate(pairs), axis=0).tolist())
+            order = np.argsort(part, kind="stable")
+            part, low, doc = part[order], sig[order].astype(np.uint32), doc[order]
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             rows = []
-            for kind in (False, True):
-                own = np.flatnonzero(stays & (hot == kind))
-                if not len(own):
-                    continue
-                p, w, d = part[own], low[own], doc[own]
-                cut = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                for a, z in zip(cut, np.r_[cut[1:], len(p)], strict=True):
-                    here, local = np.unique(d[a:z], return_inverse=True)
-                    small = np.uint16 if len(here) < 1 << 16 else np.uint32
-                    rows.append((int(p[a]), kind, w[a:z].tobytes(), local.astype(small).tobytes(), ids[here].tobytes(), sizes[here].tobytes()))
-            yield _rows(_PASS2, ("p", "hot", "sigs", "docs", "ids", "sizes"), rows)
+            for a, z in zip(first, np.r_[first[1:], len(part)], strict=True):
+                here, local = np.unique(doc[a:z], return_inverse=True)
+                small = np.uint16 if len(here) < 1 << 16 else np.uint32
+                rows.append((int(part[a]), low[a:z].tobytes(), local.astype(small).tobytes(), ids[here].tobytes(), sizes[here].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return run
 
@@ -274,49 +225,42 @@ def _fits(a, b):
     return WHOLE * np.minimum(a, b).astype(np.int64) >= PART * np.maximum(a, b).astype(np.int64)
 
 
-_FOUND = pa.schema([_PASS2.field(n) for n in ("a", "b", "list", "chunk", "members")])
-FOUND = "a bigint, b bigint, list bigint, chunk bigint, members binary"
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64()), ("chunk", pa.int32()), ("members", pa.binary())])
 
 
 def _meet(small: int):
-    """Candidate pairs of one partition's signature lists; lists over ``small``, and those with documents that stand for
-    others of their batch, give a star and, in chunks, their members."""
+    """Candidate pairs of one partition's signature lists; lists over ``small`` give a star and, in chunks, their members."""
 
     def meet(key, table):
-        part = key[0].as_py()
-        sig, doc, ids, sizes, proxy, base = [], [], [], [], [], 0
+        sig, doc, ids, sizes, base = [], [], [], [], 0
         for r in table.to_pylist():
             n = len(r["ids"]) // 8
             d = np.frombuffer(r["docs"], np.uint16 if n < 1 << 16 else np.uint32)
             sig.append(np.frombuffer(r["sigs"], np.uint32))
             doc.append(d.astype(np.int64) + base)
-            proxy.append(np.full(len(d), r["hot"]))
             ids.append(np.frombuffer(r["ids"], np.int64))
             sizes.append(np.frombuffer(r["sizes"], np.int32))
             base += n
-        sig, doc, ids, sizes, proxy = map(np.concatenate, (sig, doc, ids, sizes, proxy))
-        order = np.lexsort((~proxy, ids[doc], sig))
-        sig, doc, proxy = sig[order], doc[order], proxy[order]
+        sig, doc, ids, sizes = map(np.concatenate, (sig, doc, ids, sizes))
+        order = np.lexsort((ids[doc], sig))
+        sig, doc = sig[order], doc[order]
         keep = np.r_[True, (sig[1:] != sig[:-1]) | (ids[doc[1:]] != ids[doc[:-1]])]
-        sig, doc, proxy = sig[keep], doc[keep], proxy[keep]
+        sig, doc = sig[keep], doc[keep]
         first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         size = np.diff(np.r_[first, len(sig)])
-        stands = np.logical_or.reduceat(proxy, first)
         left, right = [], []
         for k in range(2, small + 1):
-            at = first[(size == k) & ~stands]
+            at = first[size == k]
             if len(at):
                 i, j = np.triu_indices(k, 1)
                 left.append(doc[at[:, None] + i].ravel())
                 right.append(doc[at[:, None] + j].ravel())
         large = {}
-        long = (size > small) | (stands & (size > 1))
-        for at, k, by_proxy in zip(first[long].tolist(), size[long].tolist(), stands[long].tolist(), strict=True):
+        for at, k in zip(first[size > small], size[size > small], strict=True):
             x = doc[at : at + k]
             members = ids[x].tobytes()
-            name = _list_of(part, int(sig[at])) if by_proxy else _number(members)
-            if name not in large:
-                large[name] = (members, by_proxy)
+            if members not in large:
+                large[members] = None
                 left.append(np.repeat(x[:1], k - 1))
                 right.append(x[1:])
         pairs = np.empty((0, 2), np.int64)
@@ -328,14 +272,14 @@ def _meet(small: int):
                 pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
                 pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
         rows = []
-        for name, (x, by_proxy) in large.items():
-            for k in range(0, len(x), 8 * CHUNK):
-                rows.append((name, _unique(x[k : k + 8 * CHUNK]) if by_proxy else k // (8 * CHUNK), x[k : k + 8 * CHUNK]))
+        for x in large:
+            name = int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+            rows += [(name, k // (8 * CHUNK), x[k : k + 8 * CHUNK]) for k in range(0, len(x), 8 * CHUNK)]
         n, m = len(pairs), len(rows)
-        del sig, doc, ids, sizes, order, keep, first, size, left, right, large, proxy
+        del sig, doc, ids, sizes, order, keep, first, size, left, right, large
         return_memory()
         columns = [pa.concat_arrays([pa.array(pairs[:, c]), pa.nulls(m, pa.int64())]) for c in (0, 1)]
-        columns += [pa.concat_arrays([pa.nulls(n, t), pa.array([r[c] for r in rows], t)]) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+        columns += [pa.concat_arrays([pa.nulls(n, t), pa.array([r[c] for r in rows], t)]) for c, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
         return pa.Table.from_arrays(columns, schema=_FOUND)
 
     return meet
@@ -502,9 +446,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     alone = rows.where("doc_id is not null").join(ids, ["doc_id", "th"], "left_anti")
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
-    made = materialise(alone.select("doc_id", "th", "text").mapInArrow(lean(_pass2(popular, parts, HOT_IN_BATCH)), PASS2), "jaccard-signatures")
-    met = made.where("p is not null").select("p", "hot", "sigs", "docs", "ids", "sizes").groupBy("p").applyInArrow(_meet(SMALL), FOUND)
-    found = materialise(met, "jaccard-found").union(made.where("p is null").select("a", "b", "list", "chunk", "members"))
+    blobs = alone.select("doc_id", "th", "text").mapInArrow(lean(_pass2(popular, parts)), "p int, sigs binary, docs binary, ids binary, sizes binary")
+    found = materialise(blobs.groupBy("p").applyInArrow(_meet(SMALL), "a bigint, b bigint, list bigint, chunk int, members binary"), "jaccard-found")
     links = _verified(docs, info, found.where("a is not null").select("a", "b").distinct())
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     twins = copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
