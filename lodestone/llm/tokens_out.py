@@ -27,6 +27,11 @@ PARQUET = {"parquet.block.size": str(16 << 20), "parquet.page.size": str(256 <<
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_ASCII = np.arange(256)
+_LETTER = ((_ASCII | 32) >= 97) & ((_ASCII | 32) <= 122) & (_ASCII < 128)
+_PUNCTUATION = (_ASCII > 32) & (_ASCII < 127) & ~_LETTER & ~((_ASCII >= 48) & (_ASCII <= 57))
+#: Sets the hashes of chunks apart that no space leads.
+_BARE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Chunks:
@@ -79,28 +84,39 @@ class CachedEncoder:
     The pre-tokenizer never joins text across a single space between two other characters, and it leads
     the next piece with that space. So a text is cut at spaces, and each chunk is encoded once while it is
     known; new chunks are encoded together, and the tokens that start with a space say where each begins.
+    Where the pre-tokenizer is the byte-level one with its own pattern, texts are cut at further places that
+    it never joins: before ASCII punctuation behind a letter, and around a single line feed (``_cuts``).
+    Chunks that no space leads are told apart, and encoded together with line feeds between them.
     Texts with neighbouring white space at a cut or a possible special token are encoded whole. Chunks are
     known by a 64-bit hash of their bytes (see ``hash_spans``).
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.known = Tokenizer.from_file(path), _Chunks()
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
-        for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        for piece, i in vocabulary.items():
             self.spaced[i] = piece.startswith("\u0120")  # the byte-level alphabet's space
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = tuple({b"<|", *(c.encode() for c in contents if "<|" not in c)})
+        own = self.tokenizer.pre_tokenizer
+        self.fine = isinstance(own, pre_tokenizers.ByteLevel) and own.use_regex and not own.add_prefix_space and self.tokenizer.normalizer is None
+        self.line_feed = vocabulary.get("\u010a")  # in the byte-level alphabet
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _unsafe(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, chunks: list[bytes]) -> np.ndarray:
         """Chunks that are empty, begin or end in white space, or may hold a special token."""
+        if not len(raw):
+            return np.ones(len(chunks), bool)
         first, last = raw[np.minimum(starts, len(raw) - 1)], raw[ends - 1]
         odd = (ends <= starts) | _WHITE[first] | _WHITE[last]
-        for k in np.flatnonzero(~odd & ((first > 127) | (last > 127))).tolist():  # white space beyond ASCII
+        # white space beyond ASCII: by the first byte of the first character, by the last byte but one of the last
+        beyond = np.isin(first, (0xC2, 0xE1, 0xE2, 0xE3)) | ((last > 127) & np.isin(raw[ends - 2], (0xC2, 0x80, 0x81, 0x9A)))
+        for k in np.flatnonzero(~odd & beyond).tolist():
             text = chunks[k].decode("utf-8", "surrogatepass")
             odd[k] = text[0].isspace() or text[-1].isspace()
         for m in self.marks:
@@ -108,74 +124,100 @@ class CachedEncoder:
                 odd[k] = True
         return odd
 
-    def _learn(self, hashes: np.ndarray, odd: np.ndarray, chunks: list[bytes]) -> None:
-        """Adds new chunks, those that are not odd in runs of TOGETHER."""
-        n, ids, good = np.full(len(chunks), _Chunks.UNSAFE, np.int32), [], np.flatnonzero(~odd)
-        for i in range(0, len(good), TOGETHER):
-            part = [chunks[k] for k in good[i : i + TOGETHER].tolist()]
-            got = self._ids([(b" " + b" ".join(part)).decode("utf-8", "surrogatepass")])[0]
-            at = np.flatnonzero(self.spaced[got])
-            if len(at) == len(part):
-                n[good[i : i + TOGETHER]] = np.diff(np.r_[at, len(got)])
-            else:
-                each = self._ids([(b" " + c).decode("utf-8", "surrogatepass") for c in part])
-                n[good[i : i + TOGETHER]], got = [len(x) for x in each], np.concatenate(each)
-            ids.append(got)
-        self.known.add(hashes, n, np.concatenate(ids) if ids else np.empty(0, np.uint32))
+    def _cuts(self, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Places inside texts, besides spaces, at which the byte-level pattern always ends a piece; ``edges`` are the texts' ends.
+
+        Behind a letter, ASCII punctuation starts a piece; a line feed between two characters that are not
+        white space is a piece. Letters are those of ASCII and of U+00C0 to U+00FF; others are left uncut.
+        """
+        if len(raw) < 3:
+            return np.empty(0, np.int64)
+        letter, kind = _LETTER[raw], _PUNCTUATION[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        before = np.flatnonzero(letter[:-1] & kind[1:]) + 1
+        feeds = np.flatnonzero(raw[1:-1] == 10) + 1
+        ahead, behind = raw[feeds + 1], raw[feeds - 1]
+        feeds = feeds[(behind > 32) & (behind < 127) & (((ahead > 32) & (ahead < 127)) | (ahead == 0xC3))]
+        outer = np.zeros(len(raw) + 1, bool)
+        outer[edges] = True
+        before, feeds = before[~outer[before]], feeds[~(outer[feeds] | outer[feeds + 1])]
+        return np.sort(np.r_[before, feeds, feeds + 1])
+
+    def _learn(self, hashes: np.ndarray, odd: np.ndarray, bare: np.ndarray, chunks: list[bytes]) -> None:
+        """Adds new chunks, those that are not odd in runs of TOGETHER; a space leads all but the bare ones."""
+        n, ids = np.full(len(chunks), _Chunks.UNSAFE, np.int32), [np.empty(0, np.uint32)]
+        alone = bare & (np.array([b"\n" in c for c in chunks], bool) if self.line_feed is not None else True)
+        groups = np.flatnonzero(~odd & ~bare), np.flatnonzero(~odd & bare & ~alone), np.flatnonzero(~odd & alone)
+        for lead, good in zip((" ", "\n", ""), groups, strict=True):
+            for i in range(0, len(good), TOGETHER):
+                mine, at = good[i : i + TOGETHER], ()
+                part = [chunks[k].decode("utf-8", "surrogatepass") for k in mine.tolist()]
+                if lead:
+                    got = self._ids([lead + lead.join(part)])[0]
+                    at = np.flatnonzero(self.spaced[got] if lead == " " else got == self.line_feed)
+                if len(at) == len(part):
+                    n[mine] = np.diff(np.r_[at, len(got)]) - (lead == "\n")
+                    ids.append(got if lead == " " else got[got != self.line_feed])
+                else:
+                    each = self._ids([lead.strip("\n") + c for c in part])
+                    n[mine] = [len(x) for x in each]
+                    ids += each
+        order = np.r_[(*groups, np.flatnonzero(odd))]
+        self.known.add(hashes[order], n[order], np.concatenate(ids))
 
     def flat(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) behind each other, each with ``end_id`` if given, and how many each has."""
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         stops = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[stops[0] : stops[-1]] if data is not None else np.empty(0, np.uint8)
-        begin, stop = stops[:-1] - stops[0], stops[1:] - stops[0]
+        begin, stop, bytes_ = stops[:-1] - stops[0], stops[1:] - stops[0], raw.tobytes()
         spaces = np.flatnonzero(raw == 32)
-        # pieces between spaces, at least one a text; both are in order, so the k-th start belongs to the k-th end
-        starts, ends = np.sort(np.r_[begin, spaces + 1]), np.sort(np.r_[stop, spaces])
-        pieces = np.searchsorted(spaces, stop) - np.searchsorted(spaces, begin) + 1
+        # a mark could be cut in two, so that only whole chunks tell it
+        cuts = self._cuts(raw, np.r_[begin, stop]) if self.fine and not any(m in bytes_ for m in self.marks) else np.empty(0, np.int64)
+        # pieces between the cuts, at least one a text; both are in order, so the k-th start belongs to the k-th end
+        starts, ends = np.sort(np.r_[begin, spaces + 1, cuts]), np.sort(np.r_[stop, spaces, cuts])
+        between = np.sort(np.r_[spaces, cuts])
+        pieces = np.searchsorted(between, stop) - np.searchsorted(between, begin) + 1
         head = np.cumsum(pieces) - pieces
-        tail = np.ones(len(starts), bool)
-        tail[head] = False
-        rest = np.flatnonzero(tail)
-        group, hashes = pd.factorize(hash_spans(raw, starts[rest], ends[rest]))  # distinct chunks
+        bare = np.zeros(len(starts), bool)  # no space leads them
+        bare[head] = True
+        bare[np.searchsorted(starts, cuts)] = True
+        group, hashes = pd.factorize(hash_spans(raw, starts, ends) ^ np.where(bare, _BARE, np.uint64(0)))  # distinct chunks
         some = np.empty(len(hashes), np.int64)
-        some[group[::-1]] = rest[::-1]  # where each occurs first
+        some[group[::-1]] = np.arange(len(starts))[::-1]  # where each occurs first
         order = np.argsort(hashes)
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         hashes, some, group = hashes[order], some[order], rank[group]
-        known, bytes_ = self.known, raw.tobytes()
+        known = self.known
         known.clock += 1
         place = known.find(hashes)
         known.used[place[place >= 0]] = known.clock
         known.times[place[place >= 0]] = np.minimum(known.times[place[place >= 0]] + 1, 3)
         new = np.flatnonzero(place < 0)
         if len(new):
-            s, e = starts[some[new]], ends[some[new]]
+            s, e, b = starts[some[new]], ends[some[new]], bare[some[new]]
             chunks = [bytes_[a:z] for a, z in zip(s.tolist(), e.tolist(), strict=True)]
-            self._learn(hashes[new], self._unsafe(raw, s, e, chunks), chunks)
+            feed = b & np.array([c == b"\n" for c in chunks], bool)  # a piece of its own wherever it is a bare chunk
+            self._learn(hashes[new], self._unsafe(raw, s, e, chunks) & ~feed, b, chunks)
             place = known.find(hashes)
         place = place[group]
-        first = [bytes_[a:z].decode("utf-8", "surrogatepass") for a, z in zip(starts[head].tolist(), ends[head].tolist(), strict=True)]
-        n = np.zeros(len(starts), np.int64)
-        n[rest] = known.n[place]
-        # whole texts: an unsafe piece, or a first one that is empty, ends in white space or holds a mark
-        odd = np.logical_or.reduceat(n < 0, head) if len(head) else np.empty(0, bool)
-        odd |= np.array([any(m.decode() in f for m in self.marks) or (k > 1 and (f == "" or f[-1].isspace())) for f, k in zip(first, pieces.tolist(), strict=True)], bool)
-        own = self._ids([texts[i].as_py() if o else f for i, (f, o) in enumerate(zip(first, odd.tolist(), strict=True))])
+        n, at = known.n[place].astype(np.int64), known.at[place]
+        odd = np.logical_or.reduceat(n < 0, head)  # whole texts
+        own = self._ids([texts[i].as_py() for i in np.flatnonzero(odd).tolist()])
         n[np.repeat(odd, pieces)] = 0
-        at = np.zeros(len(starts), np.int64)
-        at[rest] = known.at[place]
-        n[head] = size = np.array([len(x) for x in own], np.int64)
-        at[head] = len(known.ids) + np.cumsum(size) - size
+        size = np.array([len(x) for x in own], np.int64)
+        n[head[odd]], at[head[odd]] = size, len(known.ids) + np.cumsum(size) - size
         store = [known.ids, *own]
         if end_id is not None:
             last = head + pieces
             at, n = np.insert(at, last, len(known.ids) + int(size.sum())), np.insert(n, last, 1)
             store.append(np.array([end_id], np.uint32))
-            head, pieces = head + np.arange(len(head)), pieces + 1
+            head = head + np.arange(len(head))
         out = np.concatenate(store)[_ranges(at, n)]
-        return out, np.add.reduceat(n, head) if len(head) else np.empty(0, np.int64)
+        return out, np.add.reduceat(n, head)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         ids, n = self.flat(pa.array(texts, pa.string()))

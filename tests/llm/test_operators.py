@@ -207,6 +207,23 @@ def test_encoder_equals_library(text):
     assert enc([text, text])[1] == np.array(enc.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
 
+def test_encoder_at_every_cut(monkeypatch):
+    """Punctuation, line feeds, odd white space and marks in every neighbourhood, with a cache that forgets."""
+    from tokenizers import Tokenizer
+
+    path = tokens_out.tokenizer_file()
+    library, encoder, r = Tokenizer.from_file(path), tokens_out.CachedEncoder(path), random.Random(5)
+    assert encoder.fine
+    plain = [*"abzAZé×÷ñÀ", *"  \n\n\t\r", *".,;!?'-_()1290", "\u2003", "\u00a0", "\u0085", "\u3000", "日本", "😀", "\u0301", "'s", "'ll", "\x1c", "«", "word ", "the ", ".\n", "\n\n"]
+    for k in range(120):
+        pieces = plain if k % 2 else [*plain, "<|endoftext|>", "<", "|"]
+        texts = ["".join(r.choices(pieces, k=r.randrange(30))) for _ in range(r.randrange(1, 40))]
+        if k == 20:
+            monkeypatch.setattr(tokens_out, "CACHE", 200)
+        for text, got in zip(texts, encoder(texts), strict=True):
+            assert np.frombuffer(got, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_mixing(spark, docs, empty):
     tokens = {"a": 900, "b": 90, "c": 10}
     alpha = mixing.solve_alpha(tokens, max_repeat=2.0)
