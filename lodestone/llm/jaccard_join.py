@@ -48,6 +48,9 @@ BROADCAST_IDS = 2_000_000
 PARTITION = 2_000_000
 #: Bytes of sketches that are compared at once.
 CELLS = 1 << 22
+#: A signature that so many documents share is hot: its list is never gathered. Hot ones are broadcast, MAX_HOT at the
+#: most; beyond it the shorter of their lists are gathered like all others.
+HOT_LIST, MAX_HOT = 1 << 16, 1_000_000
 #: Documents in one row of a long list's members.
 CHUNK = 1 << 17
 
@@ -225,6 +228,95 @@ def _fits(a, b):
     return WHOLE * np.minimum(a, b).astype(np.int64) >= PART * np.maximum(a, b).astype(np.int64)
 
 
+def _often(batches):
+    """Signatures that LOCAL documents or more of one batch share, and how many do."""
+    for b in batches:
+        for p, sigs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            got, n = np.unique(np.frombuffer(sigs.as_buffer(), np.uint32), return_counts=True)
+            got, n = got[n >= LOCAL], n[n >= LOCAL]
+            if len(got):
+                yield pa.RecordBatch.from_arrays([pa.array(_named(p, got)), pa.array(n)], names=["sig", "n"])
+
+
+def _named(p: int, sigs: np.ndarray) -> np.ndarray:
+    """One number for a partition and the 32 bits of a signature in it."""
+    return (np.int64(p) << np.int64(32)) | sigs.astype(np.int64)
+
+
+def _cold(hot):
+    """The rows of ``_pass2`` without the hot signatures."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                sigs, docs = np.frombuffer(r["sigs"], np.uint32), np.frombuffer(r["docs"], _index_type(r))
+                keep = ~np.isin(_named(r["p"], sigs), hot.value)
+                if keep.any():
+                    rows.append({**r, "sigs": sigs[keep].tobytes(), "docs": docs[keep].tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=b.schema)
+
+    return run
+
+
+_HOT = pa.schema([("sig", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("k", pa.int64()), ("sum", pa.int64()), ("least", pa.int64()), ("n", pa.int32())])
+
+
+def _hot_rows(hot):
+    """Of each row of ``_pass2``, the documents of each hot signature: their ids and sizes, a sum over them and the smallest id."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                sigs, docs = np.frombuffer(r["sigs"], np.uint32), np.frombuffer(r["docs"], _index_type(r))
+                ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32)
+                names = _named(r["p"], sigs)
+                at = np.flatnonzero(np.isin(names, hot.value))
+                at = at[np.argsort(names[at], kind="stable")]
+                for part in np.split(at, np.flatnonzero(np.diff(names[at])) + 1) if len(at) else ():
+                    mine, size = ids[docs[part]], sizes[docs[part]]
+                    low = int(mine.argmin())
+                    total = int(mix(mine.view(np.uint64) ^ _SEED).sum(dtype=np.uint64).view(np.int64))
+                    rows.append((int(names[part[0]]), mine.tobytes(), size.tobytes(), len(mine), total, int(mine[low]), int(size[low])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _HOT.types, strict=True)], schema=_HOT)
+
+    return run
+
+
+def _index_type(row: dict):
+    """How the documents of a row of ``_pass2`` are numbered."""
+    return np.uint16 if len(row["ids"]) // 8 < 1 << 16 else np.uint32
+
+
+def _stars(batches):
+    """Candidate pairs of each document of a hot list with the list's smallest one."""
+    for b in batches:
+        for r in b.to_pylist():
+            ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32)
+            ids = np.unique(ids[_fits(sizes, np.int32(r["n"])) & (ids != r["least"])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["least"])), pa.array(ids)], names=["a", "b"])
+
+
+def _split_hot(spark: SparkSession, blobs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The written rows of ``_pass2`` without hot signatures, and the lists of these in rows of a batch each, or None.
+
+    Hot signatures are counted over all documents, as far as batches hold them LOCAL times. Of lists with the
+    same members one stays.
+    """
+    counts = blobs.select("p", "sigs").mapInArrow(_often, "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= HOT_LIST).orderBy(F.desc("n"), "sig").limit(MAX_HOT).toArrow()  # bounded by MAX_HOT
+    if not len(top):
+        return blobs, None
+    hot = spark.sparkContext.broadcast(np.sort(top["sig"].to_numpy()))
+    rows = materialise(blobs.mapInArrow(lean(_hot_rows(hot)), "sig bigint, ids binary, sizes binary, k bigint, sum bigint, least bigint, n int"), "jaccard-hot")
+    lists = rows.groupBy("sig").agg(F.min(F.struct("least", "n")).alias("m"), F.sum("k").alias("k"), F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum"))
+    lists = lists.groupBy("k", "sum").agg(F.min(F.struct("sig", "m")).alias("s")).select("s.sig", "s.m.least", "s.m.n")
+    rows = rows.select("sig", "ids", "sizes").join(F.broadcast(lists), "sig")  # MAX_HOT lists at the most
+    return blobs.mapInArrow(lean(_cold(hot)), blobs.schema), rows
+
+
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("list", pa.int64()), ("chunk", pa.int32()), ("members", pa.binary())])
 
 
@@ -235,7 +327,7 @@ def _meet(small: int):
         sig, doc, ids, sizes, base = [], [], [], [], 0
         for r in table.to_pylist():
             n = len(r["ids"]) // 8
-            d = np.frombuffer(r["docs"], np.uint16 if n < 1 << 16 else np.uint32)
+            d = np.frombuffer(r["docs"], _index_type(r))
             sig.append(np.frombuffer(r["sigs"], np.uint32))
             doc.append(d.astype(np.int64) + base)
             ids.append(np.frombuffer(r["ids"], np.int64))
@@ -447,13 +539,19 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
     blobs = alone.select("doc_id", "th", "text").mapInArrow(lean(_pass2(popular, parts)), "p int, sigs binary, docs binary, ids binary, sizes binary")
+    blobs, hot = _split_hot(spark, materialise(blobs, "jaccard-signatures"))
     found = materialise(blobs.groupBy("p").applyInArrow(_meet(SMALL), "a bigint, b bigint, list bigint, chunk int, members binary"), "jaccard-found")
-    links = _verified(docs, info, found.where("a is not null").select("a", "b").distinct())
+    pairs = found.where("a is not null").select("a", "b")
+    if hot is not None:
+        pairs = pairs.union(hot.mapInArrow(_stars, "a bigint, b bigint"))
+    links = _verified(docs, info, pairs.distinct())
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     twins = copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comps = connected_components(edges.union(twins))
     # second round: large lists that are not one component yet
     large = found.where("members is not null").select("list", "chunk", "members").dropDuplicates(["list", "chunk"])
+    if hot is not None:
+        large = large.union(hot.select("sig", F.lit(0), "ids"))
     if not large.isEmpty():
         comps = materialise(comps, "jaccard-comps")
         members = large.mapInArrow(_members, "list bigint, doc_id bigint").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))

@@ -399,6 +399,29 @@ def test_jaccard(spark, docs, empty, monkeypatch, small, popular):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 5])
+def test_jaccard_hot_signatures(spark, monkeypatch, most):
+    """Lists of signatures that many documents share are not gathered, and no link is lost; some beyond the bound are."""
+    monkeypatch.setattr(jaccard_join, "HOT_LIST", 9)
+    monkeypatch.setattr(jaccard_join, "MAX_HOT", most)
+    monkeypatch.setattr(jaccard_join, "LOCAL", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "GROUP", 64)
+    split, seen = jaccard_join._split_hot, []
+    monkeypatch.setattr(jaccard_join, "_split_hot", lambda *a: seen.append(split(*a)) or seen[-1])
+    base, r = words(80, 50), random.Random(6)
+    rows = [(i, " ".join(base[:70] + words(10, 100 + i))) for i in range(40)]  # near copies, also changed in two places
+    rows += [(100 + i, " ".join([f"z{i}" if k == r.randrange(80) else w for k, w in enumerate(base)])) for i in range(40)]
+    rows += [(200 + i, " ".join(base[:30] + words(50, 400 + i))) for i in range(30)]  # share signatures without links
+    rows += [(300, None), (301, ""), (None, " ".join(base)), (5, " ".join(base)), (5, " ".join(base[:72] + words(8, 7)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted(tuple(x) for x in jaccard_join.similar_documents(docs).where("doc_id is not null").collect())
+    assert got == brute_components([x for x in rows if x[0] is not None])
+    lists = seen[0][1]
+    assert lists.select("sig").distinct().count() > 1 or most == 5
+    assert lists.select("sig").distinct().count() <= most
+
+
 def test_hash_of_long_words(spark):
     """Words that a polynomial modulo a power of two cannot tell apart, and very long ones, have hashes of their own."""
     parity = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n)) for n in (256, 1024, 4096) for flip in (0, 1)]
