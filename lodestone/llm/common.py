@@ -166,7 +166,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     forest = edges.selectExpr("cast(u as bigint) u", "cast(v as bigint) v").where("u is not null and v is not null and u <> v")
-    now = materialise(forest.mapInArrow(_forest, "u bigint, v bigint").distinct(), "cc")
+    now = materialise(forest.mapInArrow(lean(_forest), "u bigint, v bigint").distinct(), "cc")
 
     def state(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -305,7 +305,7 @@ def _split_hot(spark: SparkSession, blobs: DataFrame) -> tuple[DataFrame, DataFr
     Hot signatures are counted over all documents, as far as batches hold them LOCAL times. Of lists with the
     same members one stays.
     """
-    counts = blobs.select("p", "sigs").mapInArrow(_often, "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
+    counts = blobs.select("p", "sigs").mapInArrow(lean(_often), "sig bigint, n bigint").groupBy("sig").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= HOT_LIST).orderBy(F.desc("n"), "sig").limit(MAX_HOT).toArrow()  # bounded by MAX_HOT
     if not len(top):
         return blobs, None
@@ -420,6 +420,8 @@ def _crosses(table):
     first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
     parts = [_cross(table.slice(a, z - a)) for a, z in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True)]
     pairs = np.unique(np.concatenate(parts), axis=0)
+    del table, columns, parts
+    return_memory()
     return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
@@ -491,7 +493,7 @@ def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
     x = sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     y = sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     near = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("n"))
-    near = materialise(near.mapInArrow(_sketched, "a bigint, b bigint").distinct(), "jaccard-near")
+    near = materialise(near.mapInArrow(lean(_sketched), "a bigint, b bigint").distinct(), "jaccard-near")
     ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
     few = broadcast_if_small(ids, ids.count(), BROADCAST_IDS)
     # not written out: both sides of the joins below read one and the same exchange of the sets
@@ -539,11 +541,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
     blobs = alone.select("doc_id", "th", "text").mapInArrow(lean(_pass2(popular, parts)), "p int, sigs binary, docs binary, ids binary, sizes binary")
-    blobs, hot = _split_hot(spark, materialise(blobs, "jaccard-signatures"))
+    hot = None
+    if len(times) and times.max() >= HOT_LIST:  # a signature is no more frequent than its shingles
+        blobs, hot = _split_hot(spark, materialise(blobs, "jaccard-signatures"))
     found = materialise(blobs.groupBy("p").applyInArrow(_meet(SMALL), "a bigint, b bigint, list bigint, chunk int, members binary"), "jaccard-found")
     pairs = found.where("a is not null").select("a", "b")
     if hot is not None:
-        pairs = pairs.union(hot.mapInArrow(_stars, "a bigint, b bigint"))
+        pairs = pairs.union(hot.mapInArrow(lean(_stars), "a bigint, b bigint"))
     links = _verified(docs, info, pairs.distinct())
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     twins = copies.select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
@@ -554,7 +558,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         large = large.union(hot.select("sig", F.lit(0), "ids"))
     if not large.isEmpty():
         comps = materialise(comps, "jaccard-comps")
-        members = large.mapInArrow(_members, "list bigint, doc_id bigint").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+        members = large.mapInArrow(lean(_members), "list bigint, doc_id bigint").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
         open_ = materialise(_open_lists(members), "jaccard-lists")
         if not open_.isEmpty():
             members = materialise(_of_lists(members, open_.drop("rows")), "jaccard-open")
