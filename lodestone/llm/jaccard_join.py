@@ -40,10 +40,10 @@ BLOCK = 512
 GROUP = 16_384
 #: Groups of equal sets with so many rows may be joined by broadcast, and how many such groups there can be.
 HOT, HOT_GROUPS = 1024, 1_000_000
-#: Keys that the members of one list are spread over in joins.
-SALTS = 64
-#: Id tables are broadcast up to so many rows.
-BROADCAST_IDS = 2_000_000
+#: Lists with so many members are joined by broadcast, all others by shuffling.
+LONG = 1024
+#: Id tables are broadcast up to so many rows (about 40 MB of the driver's heap), those of two columns up to half of it.
+BROADCAST_IDS = 1_000_000
 #: Shingles for each partition of signatures, at the most on average: what one call of ``_meet`` holds.
 PARTITION = 2_000_000
 #: Bytes of sketches that are compared at once.
@@ -454,9 +454,14 @@ def _cross(table) -> np.ndarray:
 
 
 def _of_lists(members: DataFrame, lists: DataFrame) -> DataFrame:
-    """The join on ``list``, salted by document: the members of one list spread over SALTS keys, and so over tasks."""
-    salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["list", "salt"]).drop("salt")
+    """The join on ``list``: the lists of LONG members or more are broadcast, so that those of one list stay spread over tasks.
+
+    There is at most one such list for LONG rows of ``members``. All others are small enough for one task, and
+    are shuffled: nothing that grows with the number of lists is gathered by the driver.
+    """
+    lists = lists.withColumn("_long", F.col("all") >= LONG).drop("all")
+    short = members.join(lists.where("not _long").hint("merge"), "list")
+    return members.join(F.broadcast(lists.where("_long")), "list").union(short).drop("_long")
 
 
 def _open_lists(members: DataFrame) -> DataFrame:
@@ -469,7 +474,7 @@ def _open_lists(members: DataFrame) -> DataFrame:
     cut = lambda n: F.ceil(n / BLOCK).cast("int")
     lists = lists.select("list", F.col("m.comp").alias("main"), F.col("all"), (F.col("all") - F.col("m.k")).alias("asking"))
     lists = lists.select("list", "main", "all", "asking", cut(F.col("all")).alias("others"), cut(F.col("asking")).alias("askers"))
-    return lists.select("list", "main", "others", "askers", (F.col("all") * F.col("askers") + F.col("asking") * F.col("others")).alias("rows"))
+    return lists.select("list", "main", "all", "others", "askers", (F.col("all") * F.col("askers") + F.col("asking") * F.col("others")).alias("rows"))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -536,7 +541,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     popular = spark.sparkContext.broadcast((known[order], np.log2(np.maximum(times[order], 1)).astype(np.int64)))
     info = info.where("kind = 0").drop("kind")
     copies = materialise(_copies(info), "jaccard-copies")
-    ids = broadcast_if_small(copies.select("doc_id", "th"), copies.count(), BROADCAST_IDS)
+    ids = broadcast_if_small(copies.select("doc_id", "th"), copies.count(), BROADCAST_IDS // 2)
     alone = rows.where("doc_id is not null").join(ids, ["doc_id", "th"], "left_anti")
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
@@ -559,6 +564,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     if not large.isEmpty():
         comps = materialise(comps, "jaccard-comps")
         members = large.mapInArrow(lean(_members), "list bigint, doc_id bigint").join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("list", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+        members = materialise(members, "jaccard-members")
         open_ = materialise(_open_lists(members), "jaccard-lists")
         if not open_.isEmpty():
             members = materialise(_of_lists(members, open_.drop("rows")), "jaccard-open")

@@ -422,6 +422,18 @@ def test_jaccard_hot_signatures(spark, monkeypatch, most):
     assert lists.select("sig").distinct().count() <= most
 
 
+def test_open_lists_are_not_multiplied(spark, monkeypatch):
+    """Lists meet their members as they are: the long ones alone are broadcast, and no table of list keys is blown up for it."""
+    monkeypatch.setattr(jaccard_join, "LONG", 50, raising=False)
+    rows = [(i, i * 10 + j, i * 10 + j // 2) for i in range(400) for j in range(3)] + [(1000, j, j // 60) for j in range(100)]
+    members = common.materialise(spark.createDataFrame(rows, "list bigint, doc_id bigint, comp bigint"), "members-test")
+    lists = common.materialise(jaccard_join._open_lists(members), "lists-test")
+    got = jaccard_join._of_lists(members, lists.drop("rows"))
+    assert sorted((r["list"], r["doc_id"], r["comp"], r["main"]) for r in got.collect()) == sorted((a, b, c, 0 if a == 1000 else a * 10) for a, b, c in rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Generate explode" not in plan
+
+
 def test_hash_of_long_words(spark):
     """Words that a polynomial modulo a power of two cannot tell apart, and very long ones, have hashes of their own."""
     parity = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n)) for n in (256, 1024, 4096) for flip in (0, 1)]
