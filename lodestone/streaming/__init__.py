@@ -9,19 +9,37 @@ from ..operators.index import BowIndex, doc_lengths, postings
 from ..schema import Analyzer
 
 
+def _stream(spark: SparkSession, source: str, schema: str, names: str) -> DataFrame:
+    """The files called ``names`` under ``source``; where folders directly in it are called so (tables of part files), their files."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{source}/{names}")
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    stream = spark.readStream.schema(schema)
+    if any(x.isDirectory() for x in found or ()):
+        return stream.parquet(f"{source}/{{{names}}}")  # a pattern: a single file is then no base path
+    return stream.option("pathGlobFilter", names).parquet(source)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def ingest(spark: SparkSession, source: str, schema: str, index: str, names: str = "*.parquet", analyzer: Analyzer | None = None) -> None:
     """Appends postings and lengths of all files called ``names`` and not seen yet under ``source``; stops when there are none.
 
     Each micro-batch writes into a folder named by its number and overwrites it when retried, and offsets
-    live in the index's checkpoint, so an interrupted build resumes without doubling documents.
+    live in the index's checkpoint, so an interrupted build resumes without doubling documents. A table may be one
+    file or a folder of part files; without any the index is empty.
     """
 
     def append(batch: DataFrame, number: int) -> None:
         postings(batch, analyzer).write.mode("overwrite").parquet(f"{index}/postings/batch={number}")
         doc_lengths(batch, analyzer).write.mode("overwrite").parquet(f"{index}/lengths/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(source)
+    stream = _stream(spark, source, schema, names)
     stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{index}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not _exists(spark, f"{index}/postings"):
+        append(spark.createDataFrame([], schema), -1)
 
 
 def open_index(spark: SparkSession, index: str, analyzer: Analyzer | None = None) -> BowIndex:
@@ -44,7 +62,7 @@ def ingest_vectors(spark: SparkSession, source: str, schema: str, centroids: lis
     def append(batch: DataFrame, number: int) -> None:
         nearest(batch, cents).write.mode("overwrite").partitionBy("list").parquet(f"{index}/vectors/batch={number}")
 
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", names).parquet(source)
+    stream = _stream(spark, source, schema, names)
     stream.writeStream.foreachBatch(append).option("checkpointLocation", f"{index}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 

@@ -106,6 +106,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, streaming.open_index(spark, target).postings.collect())) == sorted(map(tuple, index.postings(docs).collect()))
 
 
+def test_stream_of_a_table_of_part_files(spark, tmp_path):
+    """A table is one file or a folder of part files; both are ingested whole, whatever lies beside them."""
+    docs = spark.createDataFrame([(i, f"word{i % 3} common") for i in range(9)], "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    spark.createDataFrame([(1, "x")], "a bigint, b string").write.parquet(str(tmp_path / "in" / "other.parquet"))
+    target = "file://" + str(tmp_path / "index")
+    for _ in range(2):  # the second time there is nothing new
+        streaming.ingest(spark, str(tmp_path / "in"), "doc_id bigint, text string", target, "documents.parquet")
+    assert sorted(map(tuple, streaming.open_index(spark, target).postings.collect())) == sorted(map(tuple, index.postings(docs).collect()))
+    (tmp_path / "none").mkdir()
+    streaming.ingest(spark, str(tmp_path / "none"), "doc_id bigint, text string", "file://" + str(tmp_path / "empty"), "documents.parquet")
+    assert streaming.open_index(spark, "file://" + str(tmp_path / "empty")).postings.count() == 0
+
+
 @pytest.mark.parametrize("name", ["bm25_top10", "eval_ndcg_at", "sparse_beta_pruned", "dense_flat_top10", "random_fold", "hard_negatives", "token_alignment"])
 def test_plans_agree_with_sql(spark, name):
     import duckdb
