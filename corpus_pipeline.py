@@ -16,8 +16,8 @@ from lodestone.llm.mixing import mix_sources, realise
 from lodestone.llm.quality import score_documents, train
 from lodestone.llm.tokens_out import digest_tokens, read_tokens, tokenizer_file, write_tokens
 
-#: Ids that a membership table may have to be broadcast.
-BROADCAST_IDS = 2_000_000
+#: Ids that a membership table may have to be broadcast (about 40 MB of the driver's heap).
+BROADCAST_IDS = 1_000_000
 
 
 #: Tells rows apart inside a stage.
