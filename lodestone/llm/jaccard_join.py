@@ -493,18 +493,25 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, info: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of ``(a, b)`` that are links: by sketch first, then on the sets of the documents that remain."""
+    """The pairs of ``(a, b)`` that are links: by sketch first, then on the sets of the documents that remain.
+
+    Documents that share a doc_id can give the same link several times.
+    """
     sketch = info.where("n > 0").select("doc_id", "n", "sketch")
     x = sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa"), F.col("n").alias("na"))
     y = sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n").alias("nb"))
     near = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb", (F.col("na") + F.col("nb")).alias("n"))
     near = materialise(near.mapInArrow(lean(_sketched), "a bigint, b bigint").distinct(), "jaccard-near")
-    ids = materialise(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ids")
-    few = broadcast_if_small(ids, ids.count(), BROADCAST_IDS)
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    if 2 * near.count() <= BROADCAST_IDS:
+        few = F.broadcast(ids)
+    else:
+        ids = materialise(ids.distinct(), "jaccard-ids")
+        few = broadcast_if_small(ids, ids.count(), BROADCAST_IDS)
     # not written out: both sides of the joins below read one and the same exchange of the sets
     sets = docs.select(F.col("doc_id").cast("bigint"), "text").join(few, "doc_id", "left_semi").mapInArrow(lean(_set_rows), "doc_id bigint, set binary")
     x, y = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb"))
-    return materialise(near.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(lean(_verify), "a bigint, b bigint").distinct(), "jaccard-links")
+    return materialise(near.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(lean(_verify), "a bigint, b bigint"), "jaccard-links")
 
 
 def _copies(info: DataFrame) -> DataFrame:

@@ -44,6 +44,34 @@ def test_components(spark):
     assert common.connected_components(e.limit(0)).count() == 0
 
 
+def test_components_few_and_many(spark):
+    """Small forests take few jobs, whatever the number of steps; both ways find the same components."""
+    r = random.Random(4)
+    chain = r.sample(range(10**12, 10**12 + 10**6), 300)  # a path of ids in no order
+    pairs = [*itertools.pairwise(chain), *((2**62, i) for i in range(200, 400)), *((r.randrange(-900, 0), r.randrange(-900, 0)) for _ in range(400))]
+    e = spark.createDataFrame([(int(u), int(v)) for u, v in pairs], "u bigint, v bigint").repartition(7)
+    root = {}
+
+    def find(x):
+        while (p := root.setdefault(x, x)) != x:
+            x = p
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    expected = {(x, find(x)) for x in root if any(x in p and p[0] != p[1] for p in pairs)}
+    spark.sparkContext.setJobGroup("few", "components")
+    got = common.connected_components(e)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = [tuple(x) for x in got.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+    assert len(jobs) <= 6
+    rows = [tuple(x) for x in common.connected_components(e, few=0).collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+
+
 def test_line_dedup(spark, empty):
     long = [" ".join(words(20, i)) for i in range(6)]
     rows = [(1, "\n".join(["head", *long[:4], "tail"])), (2, "\n".join(["other", *long[:3], "mine"])), (3, "\n".join(long[1:4]) + "\ntail"), (4, "head\ntail"), (5, None), (6, ""), (7, "\n".join([long[5], "a", long[5], "b"])), (8, "\n".join(long[:3])), (8, "\n".join(long[:3]))]
@@ -399,6 +427,15 @@ def test_jaccard(spark, docs, empty, monkeypatch, small, popular):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+def test_jaccard_beyond_bounds(spark, docs, monkeypatch):
+    """Beyond the bounds of what is broadcast or finished on the driver, results are the same."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda e: common.connected_components(e, few=0))
+    assert sorted(tuple(r) for r in jaccard_join.similar_documents(docs).collect()) == brute_components([(r.doc_id, r.text) for r in docs.collect()])
+
+
 @pytest.mark.parametrize("most", [1_000_000, 5])
 def test_jaccard_hot_signatures(spark, monkeypatch, most):
     """Lists of signatures that many documents share are not gathered, and no link is lost; some beyond the bound are."""
